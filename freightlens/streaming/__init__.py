@@ -1,0 +1 @@
+"""Empty on purpose: every analysis is a batch query, so nothing streams."""

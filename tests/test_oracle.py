@@ -1,0 +1,27 @@
+"""Every analysis against independent SQL over the same tables."""
+
+from __future__ import annotations
+
+import pytest
+
+from freightlens.oracle import ORACLE
+from freightlens.plans import ANALYSES
+from oracle_compare import compare, duck
+
+TESTDATA = "/root/testdata"
+
+
+def test_every_analysis_has_an_oracle():
+    assert set(ORACLE) == set(ANALYSES)
+
+
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def scale(request):
+    sf_dir = f"{TESTDATA}/{request.param}"
+    return sf_dir, duck(sf_dir)
+
+
+@pytest.mark.parametrize("name", ANALYSES)
+def test_matches_oracle(spark, scale, name):
+    sf_dir, con = scale
+    assert compare(spark, con, name, sf_dir) == []
