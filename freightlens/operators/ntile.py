@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from freightlens.operators.order_stats import locate_ranks, slots
+from freightlens.operators.order_stats import locate_ranks
 
 
 def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str) -> DataFrame:
@@ -16,24 +16,23 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
     ``tie_break`` must be unique. The table itself is not shuffled: a tile
     number follows from comparing a row with the last row of each earlier tile,
     and only those ``tiles - 1`` cut rows are searched for. The search reads the
-    input up to twice, so pass a stored table rather than an expensive join.
+    input several times, so pass a stored table rather than an expensive join.
     """
-    after = [_after(F.col(key), F.col(tie_break), cut) for cut in _cuts(df, tiles, key, tie_break)]
-    ladder = F
-    for tile, later in enumerate(after, start=1):
-        ladder = ladder.when(~later, tile)
-    last = F.lit(len(after) + 1)
-    return df.withColumn(name, ladder.otherwise(last) if after else last)
+    cuts = _cuts(df, tiles, key, tie_break)
+    tile = F.lit(len(cuts) + 1)
+    for number, cut in reversed(list(enumerate(cuts, start=1))):
+        tile = F.when(_after(F.col(key), F.col(tie_break), cut), tile).otherwise(number)
+    return df.withColumn(name, tile)
 
 
 def _cuts(df: DataFrame, tiles: int, key: str, tie_break: str) -> list[Row]:
     """Key and tie-break of the last row of each tile but the last."""
 
-    def tile_ends(n: Column) -> Column:
+    def tile_ends(n: Column) -> dict[str, Column]:
         size, larger = F.floor(n / F.lit(tiles)), n % F.lit(tiles)
-        return slots(
-            {str(t): F.least(n, size * t + F.least(F.lit(t), larger)) for t in range(1, tiles)}
-        )
+        return {
+            str(t): F.least(n, size * t + F.least(F.lit(t), larger)) for t in range(1, tiles)
+        }
 
     ends = sorted(locate_ranks(df, key, tile_ends).collect(), key=lambda r: int(r["slot"]))
 
@@ -41,16 +40,19 @@ def _cuts(df: DataFrame, tiles: int, key: str, tie_break: str) -> list[Row]:
     split = [r for r in ends if r["rank"] < r["before"] + r["ties"]]
     ties: dict[str, object] = {}
     if split:
-        cut_here = [F.col(key).eqNullSafe(F.lit(r["value"])) for r in split]
-        position = [
-            F.when(
-                F.col(key).eqNullSafe(F.lit(r["value"])),
-                slots({r["slot"]: F.lit(r["rank"] - r["before"])}),
-            ).otherwise(F.array().cast("array<struct<slot:string,rank:bigint>>"))
-            for r in split
-        ]
-        runs = df.filter(reduce(Column.__or__, cut_here))
-        found = locate_ranks(runs, tie_break, lambda _: F.flatten(F.array(*position)), [key])
+
+        def in_run(end: Row) -> Column:
+            return F.col(key).eqNullSafe(F.lit(end["value"]))
+
+        runs = df.filter(reduce(Column.__or__, map(in_run, split)))
+        rows = sum({r["before"]: r["ties"] for r in split}.values())
+        found = locate_ranks(
+            runs,
+            tie_break,
+            lambda _: {r["slot"]: F.when(in_run(r), r["rank"] - r["before"]) for r in split},
+            [key],
+            rows,
+        )
         ties = {r["slot"]: r["value"] for r in found.collect()}
     return [Row(key=r["value"], tie=ties.get(r["slot"])) for r in ends]
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freightlens.sources.scratch import stored
 
@@ -17,40 +19,162 @@ RANK_RULES: dict[str, Callable[[Column, Decimal], Column]] = {
     "floor": lambda n, p: F.floor((n - 1) * F.lit(p)) + 1,
 }
 
+# A table up to this many rows is ranked with one plain window per group.
+IN_PLACE_ROWS = 1_000_000
+
+# Sketching: steps of the quantile grid, and the most groups it is worth
+# holding one grid each for (and broadcasting them).
+GRID_STEPS = 1000
+SKETCHED_GROUPS = 1000
+_SKETCHABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+Ranks = Callable[[Column], Mapping[str, Column]]
+
 
 def locate_ranks(
     df: DataFrame,
     value: str,
-    wanted: Callable[[Column], Column],
+    wanted: Ranks,
     group_by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Find the values that hold given ranks in each group, NULLs ranked first.
 
-    ``wanted`` turns the group's row count into an array of (slot, rank). The
-    result has one row per found slot: the group columns, ``slot``, ``rank``,
-    ``value``, ``before`` (rows with a smaller value) and ``ties`` (rows with
-    this value).
+    ``wanted`` turns the group's row count into slot -> rank; a NULL rank is not
+    looked for. The result has one row per found slot: the group columns,
+    ``slot``, ``rank``, ``value``, ``before`` (rows with a smaller value) and
+    ``ties`` (rows with this value). ``rows`` is the table size, if known.
 
-    Equal values collapse to a count before anything is sorted, so a value held
-    by a third of all rows is one row here. The counts are then cut into value
-    ranges of similar size; a large group spans many of them. Running totals
-    over the ranges tell which ones hold a wanted rank, and only those are
-    looked into.
+    Equal values collapse to one count before anything is sorted. Beyond
+    ``IN_PLACE_ROWS``, a quantile sketch first tells where the ranks lie, and
+    all values elsewhere collapse to one count per gap; what is left is cut into
+    value ranges and searched there. Should the sketch miss a rank, the search
+    is repeated without it, so the result is exact either way.
     """
     groups = list(group_by)
-    counts = df.groupBy(*groups, F.col(value).alias("value")).agg(
+    rows = df.count() if rows is None else rows
+    if rows <= IN_PLACE_ROWS:
+        return _pick(_rank_in_place(_count_values(df, value, groups), groups), groups, wanted)
+
+    if _sketch_pays(df, value, groups):
+        cells = _count_around_ranks(df, value, groups, wanted)
+        found = stored(_search_ranges(cells, groups, wanted), "located")
+        if found.filter(~F.col("exact")).isEmpty():
+            return found
+    return _search_ranges(_count_values(df, value, groups), groups, wanted)
+
+
+def _count_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    counts = df.groupBy(*groups, F.col(value).alias("low")).agg(
         F.count(F.lit(1)).alias("ties")
     )
-    counts = stored(
-        counts.repartitionByRange(*groups, "value").withColumn(
-            "part", F.spark_partition_id()
+    return counts.withColumn("high", F.col("low"))
+
+
+def _sketch_pays(df: DataFrame, value: str, groups: list[str]) -> bool:
+    if not isinstance(df.schema[value].dataType, _SKETCHABLE):
+        return False
+    if not groups:
+        return True
+    seen = df.agg(F.approx_count_distinct(F.struct(*groups)).alias("groups")).first()
+    return seen["groups"] <= SKETCHED_GROUPS
+
+
+def _count_around_ranks(
+    df: DataFrame, value: str, groups: list[str], wanted: Ranks
+) -> DataFrame:
+    """Counts per value near the wanted ranks and one count for each gap between.
+
+    Each cell covers ``low`` .. ``high`` and cells do not overlap.
+    """
+    steps = [i / GRID_STEPS for i in range(GRID_STEPS + 1)]
+    sketch = df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("present"),
+        F.percentile_approx(value, steps, 10_000).alias("grid"),
+    )
+    ranks = wanted(F.col("n"))
+
+    def grid_value(rank: Column, margin: int) -> Column:
+        among_present = rank - (F.col("n") - F.col("present"))
+        step = F.try_divide(among_present * GRID_STEPS, F.col("present"))
+        index = F.floor(step) - margin if margin < 0 else F.ceil(step) + margin
+        return F.try_element_at("grid", F.greatest(index, F.lit(0)).cast("int") + 1)
+
+    # Beyond the grid the bound is NULL, which leaves that side open.
+    bounds = F.struct(
+        *(
+            F.struct(
+                F.when(rank.isNotNull(), grid_value(rank, -1)).alias("from"),
+                F.when(rank.isNotNull(), grid_value(rank, 1)).alias("to"),
+                rank.isNotNull().alias("asked"),
+            ).alias(slot)
+            for slot, rank in ranks.items()
+        )
+    )
+    brackets = sketch.select(*(F.col(g).alias(f"_{g}") for g in groups), bounds.alias("_near"))
+    if groups:
+        same = reduce(
+            Column.__and__, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)
+        )
+        # At most about SKETCHED_GROUPS rows, checked above.
+        located = df.join(F.broadcast(brackets), same)
+    else:
+        located = df.withColumn("_near", brackets.select("_near").scalar())
+
+    v = F.col(value)
+    near = [F.col("_near")[slot] for slot in ranks]
+    inside = reduce(
+        Column.__or__,
+        (
+            b["asked"]
+            & F.coalesce(v >= b["from"], F.lit(True))
+            & F.coalesce(v <= b["to"], F.lit(True))
+            for b in near
         ),
-        "value-counts",
+    )
+    passed = reduce(
+        Column.__add__, (F.coalesce((v > b["to"]).cast("int"), F.lit(0)) for b in near)
+    )
+    return (
+        located.groupBy(
+            *groups,
+            F.when(v.isNull(), -1).otherwise(passed).alias("gap"),
+            F.when(inside, v).alias("kept"),
+        )
+        .agg(F.count(F.lit(1)).alias("ties"), F.min(v).alias("low"), F.max(v).alias("high"))
+        .select(*groups, "low", "high", "ties")
+    )
+
+
+def _rank_in_place(cells: DataFrame, groups: list[str]) -> DataFrame:
+    so_far = (
+        Window.partitionBy(*groups)
+        .orderBy("low")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return cells.withColumns(
+        {
+            "before": F.sum("ties").over(so_far) - F.col("ties"),
+            "n": F.sum("ties").over(Window.partitionBy(*groups)),
+        }
     )
 
-    parts = counts.groupBy(*groups, "part").agg(F.sum("ties").alias("rows"))
-    so_far = Window.partitionBy(*groups).orderBy("part").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+def _search_ranges(cells: DataFrame, groups: list[str], wanted: Ranks) -> DataFrame:
+    """Rank cells range by range; only ranges that hold a wanted rank are looked into.
+
+    Cells are unique, so ranges come out even and a large group spans many.
+    """
+    cells = stored(
+        cells.repartitionByRange(*groups, "low").withColumn("part", F.spark_partition_id()),
+        "cells",
+    )
+    parts = cells.groupBy(*groups, "part").agg(F.sum("ties").alias("rows"))
+    so_far = (
+        Window.partitionBy(*groups)
+        .orderBy("part")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     parts = parts.withColumns(
         {
@@ -58,47 +182,55 @@ def locate_ranks(
             "n": F.sum("rows").over(Window.partitionBy(*groups)),
         }
     )
+    hit = parts.filter(
+        F.exists(_slots(wanted(F.col("n"))), _covered("start", "rows"))
+    ).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "start", "n")
 
-    def covered(first: Column, count: Column) -> Callable[[Column], Column]:
-        return lambda slot: (slot["rank"] > first) & (slot["rank"] <= first + count)
-
-    hit = parts.select(
-        *(F.col(g).alias(f"_{g}") for g in groups),
-        F.col("part").alias("_part"),
-        "start",
-        F.filter(wanted(F.col("n")), covered(F.col("start"), F.col("rows"))).alias("slots"),
-    ).filter(F.size("slots") > 0)
-
-    same_part = F.col("part") == F.col("_part")
-    for g in groups:
-        same_part = same_part & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    same_part = reduce(
+        Column.__and__,
+        (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups),
+        F.col("part") == F.col("_part"),
+    )
     inside = (
         Window.partitionBy(*groups, "part")
-        .orderBy("value")
+        .orderBy("low")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counts.join(hit, same_part).withColumn(
+    ranked = cells.join(hit, same_part).withColumn(
         "before", F.col("start") + F.sum("ties").over(inside) - F.col("ties")
     )
-    return ranked.select(
-        *groups,
-        "value",
-        "before",
-        "ties",
-        F.inline(F.filter("slots", covered(F.col("before"), F.col("ties")))),
-    )
+    return _pick(ranked, groups, wanted)
 
 
-def slots(ranks: Mapping[str, Column]) -> Column:
-    """Named ranks as the array that ``locate_ranks`` looks up."""
+def _slots(ranks: Mapping[str, Column]) -> Column:
     return F.array(
         *(
-            F.struct(F.lit(name).alias("slot"), rank.cast("bigint").alias("rank"))
-            for name, rank in ranks.items()
+            F.struct(F.lit(slot).alias("slot"), rank.cast("bigint").alias("rank"))
+            for slot, rank in ranks.items()
         )
     )
 
 
+def _covered(first: str, count: str) -> Callable[[Column], Column]:
+    """Whether a slot's rank lies among the ``count`` rows after ``first``."""
+    return lambda slot: (slot["rank"] > F.col(first)) & (
+        slot["rank"] <= F.col(first) + F.col(count)
+    )
+
+
+def _pick(ranked: DataFrame, groups: list[str], wanted: Ranks) -> DataFrame:
+    """Cells with ``before`` and ``n`` to one row per slot found in them."""
+    held = F.filter(_slots(wanted(F.col("n"))), _covered("before", "ties"))
+    return ranked.select(
+        *groups,
+        F.col("low").alias("value"),
+        F.col("low").eqNullSafe(F.col("high")).alias("exact"),
+        "before",
+        "ties",
+        F.inline(held),
+    )
+
+
 def group_quantiles(
     df: DataFrame,
     value: str,
@@ -116,15 +248,15 @@ def group_quantiles(
     found = locate_ranks(
         df,
         value,
-        lambda n: slots({name: rank(n, Decimal(p)) for name, p in fractions.items()}),
+        lambda n: {name: rank(n, Decimal(p)) for name, p in fractions.items()},
         group_by,
     )
+    columns = [
+        F.max(F.when(F.col("slot") == name, F.col("value"))).alias(name) for name in fractions
+    ]
     return (
         found.groupBy(*group_by)
-        .agg(
-            F.count(F.lit(1)).alias("_found"),
-            *(F.max(F.when(F.col("slot") == name, F.col("value"))).alias(name) for name in fractions),
-        )
+        .agg(F.count(F.lit(1)).alias("_found"), *columns)
         .filter("_found > 0")
         .drop("_found")
     )

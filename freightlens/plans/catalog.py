@@ -43,6 +43,7 @@ ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
 # Analyses that read the fact more than once, with the columns they read. Over
 # star tables the fact is a join, so these columns are stored once first.
 READ_AGAIN: dict[str, list[str]] = {
+    "q07_deviation_quantiles": ["timestamp", "delivery_time_deviation"],
     "q08_loading_outliers": [
         "shipment_id", "timestamp", "loading_unloading_time", "delivery_time_deviation",
     ],

@@ -43,6 +43,16 @@ SHIPMENT_SCHEMA = T.StructType(
     ]
 )
 
+# The star tables, as far as the fact needs them.
+_STAR_TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_acctbal double",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_quantity double, l_discount double,"
+    " l_tax double",
+}
+
 # How each shipment column is derived from the joined star tables.
 _FROM_STAR = {
     "shipment_id": "event_id",
@@ -89,9 +99,9 @@ def load_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(_STAR_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = table("lineitem").groupBy(F.col("l_orderkey")).agg(
+    lines = table("lineitem").groupBy("l_orderkey").agg(
         F.max("l_quantity").alias("max_qty"),
         F.max("l_tax").alias("max_tax"),
         F.min("l_discount").alias("min_disc"),
@@ -103,9 +113,9 @@ def load_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(lines, orders.o_orderkey == lines.l_orderkey, "left")
         .join(customer, customer.c_custkey == orders.o_custkey)
     )
-    return joined.select(
+    return joined.selectExpr(
         *(
-            F.expr(_FROM_STAR[f.name]).cast(f.dataType).alias(f.name)
+            f"CAST({_FROM_STAR[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in SHIPMENT_SCHEMA
         )
     )
