@@ -9,18 +9,19 @@ from freightlens.sources.scratch import stored
 
 
 def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> DataFrame:
-    """Rows whose state differs from the previous row in (at, tie_break) order.
+    """Times at which the state differs from the previous row in (at, tie_break) order.
 
-    Returns ``at``, ``state``, ``prev_state`` and ``part``, the time range the row
-    was found in (numbered in time order). NULL states and the very first row
-    have no transition.
+    Returns one row per distinct ``at``, ``prev_state`` and ``state``, with ``part``,
+    the time range it was found in (numbered in time order). NULL states and the
+    very first row have no transition.
 
     The series is cut into time ranges, each compared row by row on its own.
-    Only changes and each range's first and last row are kept; a first row then
-    takes its previous state from the range before it.
+    Only distinct changes and each range's first and last row are kept; a first
+    row then takes its previous state from the range before it.
     """
     inside = Window.partitionBy("part").orderBy("at", "tie")
-    marked = (
+    changed = F.col("state") != F.col("prev_state")
+    compared = (
         df.select(F.col(at).alias("at"), F.col(tie_break).alias("tie"), F.col(state).alias("state"))
         .repartitionByRange("at", "tie")
         .withColumn("part", F.spark_partition_id())
@@ -31,10 +32,14 @@ def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> Dat
                 "closes": F.lead("tie").over(inside).isNull(),
             }
         )
+        .filter(F.col("opens") | F.col("closes") | changed)
     )
-    changed = F.col("state") != F.col("prev_state")
+    # Already partitioned by range, so this collapses without a shuffle.
     kept = stored(
-        marked.filter(F.col("opens") | F.col("closes") | changed), "state-changes"
+        compared.groupBy("part", "at", "prev_state", "state", "opens", "closes").agg(
+            F.max("tie").alias("tie")
+        ),
+        "state-changes",
     )
 
     # At most two rows per range, so one task can hold them all.
@@ -48,7 +53,8 @@ def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> Dat
         kept.filter(~F.col("opens"))
         .unionByName(opening)
         .filter(changed)
-        .select("at", "state", "prev_state", "part")
+        .groupBy("at", "prev_state", "state")
+        .agg(F.min("part").alias("part"))
     )
 
 

@@ -18,7 +18,7 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
     and only those ``tiles - 1`` cut rows are searched for. The search reads the
     input several times, so pass a stored table rather than an expensive join.
     """
-    cuts = _cuts(df, tiles, key, tie_break)
+    cuts = _cuts(df, tiles, key, tie_break) if tiles > 1 else []
     tile = F.lit(len(cuts) + 1)
     for number, cut in reversed(list(enumerate(cuts, start=1))):
         tile = F.when(_after(F.col(key), F.col(tie_break), cut), tile).otherwise(number)
