@@ -11,9 +11,9 @@ from freightlens.sources.scratch import stored
 def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> DataFrame:
     """Times at which the state differs from the previous row in (at, tie_break) order.
 
-    Returns one row per distinct ``at``, ``prev_state`` and ``state``, with ``part``,
-    the time range it was found in (numbered in time order). NULL states and the
-    very first row have no transition.
+    Returns ``at``, ``prev_state``, ``state`` and ``part``, the time range the change
+    was found in (numbered in time order); changes repeated within a range and
+    time appear once. NULL states and the very first row have no transition.
 
     The series is cut into time ranges, each compared row by row on its own.
     Only distinct changes and each range's first and last row are kept; a first
@@ -53,8 +53,7 @@ def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> Dat
         kept.filter(~F.col("opens"))
         .unionByName(opening)
         .filter(changed)
-        .groupBy("at", "prev_state", "state")
-        .agg(F.min("part").alias("part"))
+        .select("at", "prev_state", "state", "part")
     )
 
 

@@ -95,18 +95,19 @@ def _count_around_ranks(
     )
     ranks = wanted(F.col("n"))
 
-    def grid_value(rank: Column, margin: int) -> Column:
+    def step(rank: Column) -> Column:
         among_present = rank - (F.col("n") - F.col("present"))
-        step = F.try_divide(among_present * GRID_STEPS, F.col("present"))
-        index = F.floor(step) - margin if margin < 0 else F.ceil(step) + margin
+        return F.try_divide(among_present * GRID_STEPS, F.col("present"))
+
+    def grid_value(index: Column) -> Column:
         return F.try_element_at("grid", F.greatest(index, F.lit(0)).cast("int") + 1)
 
     # Beyond the grid the bound is NULL, which leaves that side open.
     bounds = F.struct(
         *(
             F.struct(
-                F.when(rank.isNotNull(), grid_value(rank, -1)).alias("from"),
-                F.when(rank.isNotNull(), grid_value(rank, 1)).alias("to"),
+                grid_value(F.floor(step(rank)) - 1).alias("from"),
+                grid_value(F.ceil(step(rank)) + 1).alias("to"),
                 rank.isNotNull().alias("asked"),
             ).alias(slot)
             for slot, rank in ranks.items()

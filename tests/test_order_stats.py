@@ -87,12 +87,19 @@ def test_a_missed_sketch_is_repeated_exactly(spark, monkeypatch):
     assert tuple(group_quantiles(df, "x", FRACTIONS, "ceil").first()) == (10.0, 25.0, 50.0, 75.0)
 
 
-def test_sketch_collapses_values_away_from_the_ranks(spark):
-    df = spark.range(100_000).select(F.rand(5).alias("x"))
-    wanted = lambda n: {"m": F.ceil(n / F.lit(2))}
-    cells = order_stats._count_around_ranks(df, "x", [], wanted).persist()
-    assert cells.count() < 1000
-    assert cells.agg(F.sum("ties")).first()[0] == 100_000
+@pytest.mark.parametrize("missing", [0.0, 0.3])
+def test_sketch_brackets_the_ranks(spark, missing):
+    """Away from the ranks values collapse; at the ranks they stay exact."""
+    x = F.when(F.rand(8) >= missing, F.rand(5))
+    df = spark.range(100_000).select((F.col("id") % 2).alias("g"), x.alias("x")).persist()
+    wanted = lambda n: {p: F.ceil(n * float(p)) for p in FRACTIONS.values()}
+    for groups in ([], ["g"]):
+        cells = order_stats._count_around_ranks(df, "x", groups, wanted).persist()
+        assert cells.count() < 3000
+        assert cells.agg(F.sum("ties")).first()[0] == 100_000
+        found = order_stats._search_ranges(cells, groups, wanted)
+        assert found.count() == len(FRACTIONS) * (2 if groups else 1)
+        assert found.filter(~F.col("exact")).isEmpty()
 
 
 NTILE_CASES = {
