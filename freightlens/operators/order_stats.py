@@ -22,19 +22,20 @@ RANK_RULES: dict[str, Callable[[Column, Decimal], Column]] = {
 # A table up to this many rows is ranked with one plain window per group.
 IN_PLACE_ROWS = 1_000_000
 
-# Sketching: steps of the quantile grid, and the most groups it is worth
-# holding one grid each for (and broadcasting them).
-GRID_STEPS = 1000
+# Quantile sketch: its size, the steps of the grid read from it, the steps a
+# rank may be off, and the most groups whose grids are broadcast.
+SKETCH_SIZE = 4000
+GRID_STEPS = 2000
+GRID_MARGIN = 2
 SKETCHED_GROUPS = 1000
-_SKETCHABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
-Ranks = Callable[[Column], Mapping[str, Column]]
+Ranks = Mapping[str, Column]
 
 
 def locate_ranks(
     df: DataFrame,
     value: str,
-    wanted: Ranks,
+    wanted: Callable[[Column], Ranks],
     group_by: Sequence[str] = (),
     rows: int | None = None,
 ) -> DataFrame:
@@ -46,22 +47,25 @@ def locate_ranks(
     ``ties`` (rows with this value). ``rows`` is the table size, if known.
 
     Equal values collapse to one count before anything is sorted. Beyond
-    ``IN_PLACE_ROWS``, a quantile sketch first tells where the ranks lie, and
-    all values elsewhere collapse to one count per gap; what is left is cut into
-    value ranges and searched there. Should the sketch miss a rank, the search
-    is repeated without it, so the result is exact either way.
+    ``IN_PLACE_ROWS``, a quantile sketch of numeric values first tells where the
+    ranks lie, and all values elsewhere collapse to one count per gap; what is
+    left is cut into value ranges and searched there. Should the sketch miss a
+    rank, the search is repeated without it, so the result is exact either way.
     """
     groups = list(group_by)
     rows = df.count() if rows is None else rows
+    ranks = wanted(F.col("n") if groups else F.lit(rows))
     if rows <= IN_PLACE_ROWS:
-        return _pick(_rank_in_place(_count_values(df, value, groups), groups), groups, wanted)
+        return _pick(_rank_in_place(_count_values(df, value, groups), groups), groups, ranks)
 
-    if _sketch_pays(df, value, groups):
-        cells = _count_around_ranks(df, value, groups, wanted)
-        found = stored(_search_ranges(cells, groups, wanted), "located")
-        if found.filter(~F.col("exact")).isEmpty():
-            return found
-    return _search_ranges(_count_values(df, value, groups), groups, wanted)
+    if isinstance(df.schema[value].dataType, T.NumericType):
+        brackets = stored(_rank_brackets(df, value, groups, ranks), "rank-brackets")
+        if brackets.count() <= SKETCHED_GROUPS:
+            cells = _count_around_ranks(df, value, groups, brackets)
+            found = stored(_search_ranges(cells, groups, ranks), "located")
+            if found.filter(~F.col("exact")).isEmpty():
+                return found
+    return _search_ranges(_count_values(df, value, groups), groups, ranks)
 
 
 def _count_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
@@ -71,71 +75,76 @@ def _count_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     return counts.withColumn("high", F.col("low"))
 
 
-def _sketch_pays(df: DataFrame, value: str, groups: list[str]) -> bool:
-    if not isinstance(df.schema[value].dataType, _SKETCHABLE):
-        return False
-    if not groups:
-        return True
-    seen = df.agg(F.approx_count_distinct(F.struct(*groups)).alias("groups")).first()
-    return seen["groups"] <= SKETCHED_GROUPS
+def _rank_brackets(df: DataFrame, value: str, groups: list[str], ranks: Ranks) -> DataFrame:
+    """Per group, the value interval each wanted rank should lie in, as column ``near``.
 
-
-def _count_around_ranks(
-    df: DataFrame, value: str, groups: list[str], wanted: Ranks
-) -> DataFrame:
-    """Counts per value near the wanted ranks and one count for each gap between.
-
-    Each cell covers ``low`` .. ``high`` and cells do not overlap.
+    A NULL bound leaves that side open. A rank that is not looked for or falls
+    among the NULLs has no interval.
     """
-    steps = [i / GRID_STEPS for i in range(GRID_STEPS + 1)]
+    v = F.col(value).cast("double")
+    # as text: the function wants a constant array
+    steps = ", ".join(f"{i / GRID_STEPS}D" for i in range(GRID_STEPS + 1))
     sketch = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(value).alias("present"),
-        F.percentile_approx(value, steps, 10_000).alias("grid"),
+        F.count_if(F.isnan(v)).alias("nan"),
+        F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE)).alias("sketch"),
+    )
+    # an empty sketch has no quantiles; it ignores NaN
+    filled = F.col("present") > F.col("nan")
+    sketch = sketch.withColumn(
+        "grid", F.when(filled, F.kll_sketch_get_quantile_double("sketch", F.expr(f"array({steps})")))
     )
-    ranks = wanted(F.col("n"))
-
-    def step(rank: Column) -> Column:
-        among_present = rank - (F.col("n") - F.col("present"))
-        return F.try_divide(among_present * GRID_STEPS, F.col("present"))
 
     def grid_value(index: Column) -> Column:
-        return F.try_element_at("grid", F.greatest(index, F.lit(0)).cast("int") + 1)
+        return F.when(index >= 0, F.try_element_at("grid", index.cast("int") + 1))
 
-    # Beyond the grid the bound is NULL, which leaves that side open.
-    bounds = F.struct(
-        *(
-            F.struct(
-                grid_value(F.floor(step(rank)) - 1).alias("from"),
-                grid_value(F.ceil(step(rank)) + 1).alias("to"),
-                rank.isNotNull().alias("asked"),
-            ).alias(slot)
-            for slot, rank in ranks.items()
+    def interval(rank: Column) -> Column:
+        among_present = rank - (F.col("n") - F.col("present"))
+        step = F.try_divide(among_present * GRID_STEPS, F.col("present") - F.col("nan"))
+        bounds = F.struct(
+            grid_value(F.floor(step) - GRID_MARGIN).alias("from"),
+            grid_value(F.ceil(step) + GRID_MARGIN).alias("to"),
         )
+        return F.when(among_present > 0, bounds)
+
+    intervals = [interval(rank) for rank in ranks.values()]
+    return sketch.select(
+        *(F.col(g).alias(f"_{g}") for g in groups),
+        F.struct(*(i.alias(f"r{at}") for at, i in enumerate(intervals))).alias("near"),
     )
-    brackets = sketch.select(*(F.col(g).alias(f"_{g}") for g in groups), bounds.alias("_near"))
+
+
+def _count_around_ranks(
+    df: DataFrame, value: str, groups: list[str], brackets: DataFrame
+) -> DataFrame:
+    """Counts per value inside the brackets and one count for each gap between.
+
+    Each cell covers ``low`` .. ``high`` and cells do not overlap.
+    """
     if groups:
         same = reduce(
             Column.__and__, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)
         )
-        # At most about SKETCHED_GROUPS rows, checked above.
+        # The caller has checked the number of groups.
         located = df.join(F.broadcast(brackets), same)
     else:
-        located = df.withColumn("_near", brackets.select("_near").scalar())
+        located = df.withColumn("near", brackets.scalar())
 
     v = F.col(value)
-    near = [F.col("_near")[slot] for slot in ranks]
+    near = [F.col("near")[f.name] for f in brackets.schema["near"].dataType]
     inside = reduce(
         Column.__or__,
         (
-            b["asked"]
-            & F.coalesce(v >= b["from"], F.lit(True))
-            & F.coalesce(v <= b["to"], F.lit(True))
+            b.isNotNull()
+            & F.coalesce(v.cast("double") >= b["from"], F.lit(True))
+            & F.coalesce(v.cast("double") <= b["to"], F.lit(True))
             for b in near
         ),
     )
     passed = reduce(
-        Column.__add__, (F.coalesce((v > b["to"]).cast("int"), F.lit(0)) for b in near)
+        Column.__add__,
+        (F.coalesce((v.cast("double") > b["to"]).cast("int"), F.lit(0)) for b in near),
     )
     return (
         located.groupBy(
@@ -162,7 +171,7 @@ def _rank_in_place(cells: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def _search_ranges(cells: DataFrame, groups: list[str], wanted: Ranks) -> DataFrame:
+def _search_ranges(cells: DataFrame, groups: list[str], ranks: Ranks) -> DataFrame:
     """Rank cells range by range; only ranges that hold a wanted rank are looked into.
 
     Cells are unique, so ranges come out even and a large group spans many.
@@ -184,7 +193,7 @@ def _search_ranges(cells: DataFrame, groups: list[str], wanted: Ranks) -> DataFr
         }
     )
     hit = parts.filter(
-        F.exists(_slots(wanted(F.col("n"))), _covered("start", "rows"))
+        F.exists(_slots(ranks), _covered("start", "rows"))
     ).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "start", "n")
 
     same_part = reduce(
@@ -200,10 +209,10 @@ def _search_ranges(cells: DataFrame, groups: list[str], wanted: Ranks) -> DataFr
     ranked = cells.join(hit, same_part).withColumn(
         "before", F.col("start") + F.sum("ties").over(inside) - F.col("ties")
     )
-    return _pick(ranked, groups, wanted)
+    return _pick(ranked, groups, ranks)
 
 
-def _slots(ranks: Mapping[str, Column]) -> Column:
+def _slots(ranks: Ranks) -> Column:
     return F.array(
         *(
             F.struct(F.lit(slot).alias("slot"), rank.cast("bigint").alias("rank"))
@@ -219,9 +228,9 @@ def _covered(first: str, count: str) -> Callable[[Column], Column]:
     )
 
 
-def _pick(ranked: DataFrame, groups: list[str], wanted: Ranks) -> DataFrame:
+def _pick(ranked: DataFrame, groups: list[str], ranks: Ranks) -> DataFrame:
     """Cells with ``before`` and ``n`` to one row per slot found in them."""
-    held = F.filter(_slots(wanted(F.col("n"))), _covered("before", "ties"))
+    held = F.filter(_slots(ranks), _covered("before", "ties"))
     return ranked.select(
         *groups,
         F.col("low").alias("value"),

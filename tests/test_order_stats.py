@@ -17,7 +17,7 @@ def path(request, monkeypatch):
     if request.param != "in place":
         monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
     if request.param == "ranges only":
-        monkeypatch.setattr(order_stats, "_SKETCHABLE", ())
+        monkeypatch.setattr(order_stats, "SKETCHED_GROUPS", -1)
     return request.param
 
 
@@ -77,7 +77,7 @@ def test_a_missed_sketch_is_repeated_exactly(spark, monkeypatch):
     """Even when every value collapses into one gap, the answer is exact."""
     monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
 
-    def one_gap(df, value, groups, wanted):
+    def one_gap(df, value, groups, brackets):
         return df.groupBy(*groups).agg(
             F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("ties")
         )
@@ -92,12 +92,13 @@ def test_sketch_brackets_the_ranks(spark, missing):
     """Away from the ranks values collapse; at the ranks they stay exact."""
     x = F.when(F.rand(8) >= missing, F.rand(5))
     df = spark.range(100_000).select((F.col("id") % 2).alias("g"), x.alias("x")).persist()
-    wanted = lambda n: {p: F.ceil(n * float(p)) for p in FRACTIONS.values()}
+    ranks = {p: F.ceil(F.col("n") * float(p)) for p in FRACTIONS.values()}
     for groups in ([], ["g"]):
-        cells = order_stats._count_around_ranks(df, "x", groups, wanted).persist()
+        brackets = order_stats._rank_brackets(df, "x", groups, ranks)
+        cells = order_stats._count_around_ranks(df, "x", groups, brackets).persist()
         assert cells.count() < 3000
         assert cells.agg(F.sum("ties")).first()[0] == 100_000
-        found = order_stats._search_ranges(cells, groups, wanted)
+        found = order_stats._search_ranges(cells, groups, ranks)
         assert found.count() == len(FRACTIONS) * (2 if groups else 1)
         assert found.filter(~F.col("exact")).isEmpty()
 
