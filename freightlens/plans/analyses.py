@@ -1,6 +1,6 @@
 """The analyses: each takes the shipment fact and returns its report.
 
-Parameters are fixed here; the operators they call take others.
+Thresholds are arguments; their defaults are the values the reports are defined with.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ QUARTERS = {"p25": "0.25", "p50": "0.50", "p75": "0.75"}
 UNROUNDED = 6
 
 
-def _high_risk() -> Column:
-    return F.col("route_risk_level") >= HIGH_RISK
+def _high_risk(threshold: float) -> Column:
+    return F.col("route_risk_level") >= threshold
 
 
 def fuel_by_risk(shipments: DataFrame) -> DataFrame:
@@ -142,11 +142,11 @@ def deviation_quantiles(shipments: DataFrame) -> DataFrame:
     ).orderBy("dow", "hr")
 
 
-def loading_outliers(shipments: DataFrame) -> DataFrame:
+def loading_outliers(shipments: DataFrame, factor: float = 1.5, top: int = 50) -> DataFrame:
     return (
-        iqr_outliers(shipments, "loading_unloading_time", 1.5)
+        iqr_outliers(shipments, "loading_unloading_time", factor)
         .orderBy(F.desc("loading_unloading_time"), "shipment_id")
-        .limit(50)
+        .limit(top)
         .select("timestamp", "loading_unloading_time", "delivery_time_deviation", "bound")
     )
 
@@ -170,9 +170,9 @@ def delay_by_port_and_customs(shipments: DataFrame) -> DataFrame:
     )
 
 
-def supplier_deciles(shipments: DataFrame) -> DataFrame:
+def supplier_deciles(shipments: DataFrame, tiles: int = 10, top: int = 10) -> DataFrame:
     tiled = exact_ntile(
-        shipments, "supplier_decile", 10, "supplier_reliability_score", "shipment_id"
+        shipments, "supplier_decile", tiles, "supplier_reliability_score", "shipment_id"
     )
     return (
         group_profile(
@@ -186,18 +186,18 @@ def supplier_deciles(shipments: DataFrame) -> DataFrame:
             {"avg_lead_time_days": 2, "avg_reliability_score": 4},
         )
         .orderBy(F.desc("avg_lead_time_days"), "supplier_decile")
-        .limit(10)
+        .limit(top)
     )
 
 
-def high_risk_percentage(shipments: DataFrame) -> DataFrame:
-    return share_where(shipments, _high_risk(), "pct_high_risk_routes")
+def high_risk_percentage(shipments: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
+    return share_where(shipments, _high_risk(threshold), "pct_high_risk_routes")
 
 
-def conditions_by_risk(shipments: DataFrame) -> DataFrame:
+def conditions_by_risk(shipments: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
     return group_profile(
         shipments,
-        {"risk_group": F.when(_high_risk(), "High").otherwise("Low")},
+        {"risk_group": F.when(_high_risk(threshold), "High").otherwise("Low")},
         {
             "avg_traffic_congestion": F.avg("traffic_congestion_level"),
             "avg_weather_severity": F.avg("weather_condition_severity"),
@@ -211,30 +211,32 @@ def temperature_summary(shipments: DataFrame) -> DataFrame:
     return value_summary(shipments, "iot_temperature", "temp")
 
 
-def temperature_excursions(shipments: DataFrame) -> DataFrame:
-    return sigma_excursions(shipments, "iot_temperature", 3).select(
+def temperature_excursions(shipments: DataFrame, k: float = 3) -> DataFrame:
+    return sigma_excursions(shipments, "iot_temperature", k).select(
         "timestamp", "iot_temperature"
     )
 
 
-def excursions_versus_cargo(shipments: DataFrame) -> DataFrame:
+def excursions_versus_cargo(
+    shipments: DataFrame, k: float = 2, threshold: float = HIGH_RISK
+) -> DataFrame:
     return excursion_association(
         shipments,
         "iot_temperature",
         "cargo_condition_status",
-        {"high_route_risk": _high_risk()},
+        {"high_route_risk": _high_risk(threshold)},
         "temp_excursion",
         "avg_cargo_condition",
-        k=2,
+        k=k,
     )
 
 
-def lagged_features(shipments: DataFrame) -> DataFrame:
+def lagged_features(shipments: DataFrame, late_hours: float = 1) -> DataFrame:
     daily = shipments.groupBy(day("timestamp").alias("dt"), "route_risk_level").agg(
         F.avg("traffic_congestion_level").alias("avg_traffic"),
         F.avg("weather_condition_severity").alias("avg_weather"),
         F.avg("delivery_time_deviation").alias("avg_delay"),
-        share(F.col("delivery_time_deviation") > 1).alias("delay_flag"),
+        share(F.col("delivery_time_deviation") > late_hours).alias("delay_flag"),
     )
     lags = {
         "traffic_lag1": "avg_traffic",
@@ -257,18 +259,18 @@ def predictor_ranking(shipments: DataFrame) -> DataFrame:
     return rounded(ranked, UNROUNDED, "corr_value")
 
 
-def top_routes(shipments: DataFrame) -> DataFrame:
+def top_routes(shipments: DataFrame, k: int = 5) -> DataFrame:
     routes = shipments.groupBy(F.col("route_risk_level").alias("recommended_route")).agg(
         F.avg("fuel_consumption_rate").alias("avg_fuel"),
         F.avg("delivery_time_deviation").alias("avg_delay"),
     )
-    best = top_ranked(routes, ["avg_delay", "avg_fuel"], 5, "route_rank")
+    best = top_ranked(routes, ["avg_delay", "avg_fuel"], k, "route_rank")
     return rounded(best, UNROUNDED, "avg_fuel", "avg_delay").drop("route_rank")
 
 
-def unloading_windows(shipments: DataFrame, capacity: int = 10) -> DataFrame:
+def unloading_windows(shipments: DataFrame, capacity: int = 10, tiles: int = 5) -> DataFrame:
     tiled = exact_ntile(
-        shipments, "warehouse_bucket", 5, "warehouse_inventory_level", "shipment_id"
+        shipments, "warehouse_bucket", tiles, "warehouse_inventory_level", "shipment_id"
     )
     return capacity_windows(
         tiled.withColumn("dt", day("timestamp")),
@@ -282,17 +284,27 @@ def unloading_windows(shipments: DataFrame, capacity: int = 10) -> DataFrame:
     )
 
 
-def demand_forecast(shipments: DataFrame) -> DataFrame:
-    return seasonal_forecast(shipments, day("timestamp"), "historical_demand", 7, 365, 30)
+def demand_forecast(
+    shipments: DataFrame, last_week: int = 7, last_year: int = 365, rows: int = 30
+) -> DataFrame:
+    return seasonal_forecast(
+        shipments, day("timestamp"), "historical_demand", last_week, last_year, rows
+    )
 
 
-def driver_quartiles(shipments: DataFrame) -> DataFrame:
+def driver_quartiles(
+    shipments: DataFrame,
+    low_behavior: float = 0.5,
+    low_fatigue: float = 0.5,
+    high_delay: float = 0.7,
+    tiles: int = 4,
+) -> DataFrame:
     incident = (
-        (F.col("driver_behavior_score") < 0.5)
-        | (F.col("fatigue_monitoring_score") < 0.5)
-        | (F.col("delay_probability") > 0.7)
+        (F.col("driver_behavior_score") < low_behavior)
+        | (F.col("fatigue_monitoring_score") < low_fatigue)
+        | (F.col("delay_probability") > high_delay)
     )
-    tiled = exact_ntile(shipments, "driver_bin", 4, "driver_behavior_score", "shipment_id")
+    tiled = exact_ntile(shipments, "driver_bin", tiles, "driver_behavior_score", "shipment_id")
     return group_profile(
         tiled,
         {"driver_bin": F.col("driver_bin")},
@@ -305,7 +317,7 @@ def driver_quartiles(shipments: DataFrame) -> DataFrame:
     ).orderBy("driver_bin")
 
 
-def equipment_downtime(shipments: DataFrame) -> DataFrame:
+def equipment_downtime(shipments: DataFrame, months: int = 6) -> DataFrame:
     changes = transition_events(
         shipments, "timestamp", "shipment_id", "handling_equipment_availability"
     )
@@ -320,13 +332,13 @@ def equipment_downtime(shipments: DataFrame) -> DataFrame:
         {"avg_downtime_hours": 1},
     )
     return rolling_rows_mean(
-        monthly, ["yr", "mth"], "avg_downtime_hours", "rolling_6mo_avg_downtime", 6, 1
+        monthly, ["yr", "mth"], "avg_downtime_hours", "rolling_6mo_avg_downtime", months, 1
     ).orderBy("yr", "mth")
 
 
-def warehouse_quartiles(shipments: DataFrame) -> DataFrame:
+def warehouse_quartiles(shipments: DataFrame, tiles: int = 4) -> DataFrame:
     tiled = exact_ntile(
-        shipments, "warehouse_quartile", 4, "warehouse_inventory_level", "shipment_id"
+        shipments, "warehouse_quartile", tiles, "warehouse_inventory_level", "shipment_id"
     )
     return mean_of_period_means(
         tiled,
@@ -339,9 +351,9 @@ def warehouse_quartiles(shipments: DataFrame) -> DataFrame:
     ).orderBy(F.desc("overall_fulfillment_rate"))
 
 
-def supplier_lead_times(shipments: DataFrame) -> DataFrame:
+def supplier_lead_times(shipments: DataFrame, tiles: int = 10, top: int = 5) -> DataFrame:
     tiled = exact_ntile(
-        shipments, "supplier_decile", 10, "supplier_reliability_score", "shipment_id"
+        shipments, "supplier_decile", tiles, "supplier_reliability_score", "shipment_id"
     )
     return (
         mean_of_period_means(
@@ -354,7 +366,7 @@ def supplier_lead_times(shipments: DataFrame) -> DataFrame:
             },
         )
         .orderBy(F.desc("overall_avg_lead_time"), "supplier_decile")
-        .limit(5)
+        .limit(top)
     )
 
 

@@ -25,3 +25,15 @@ def scale(request):
 def test_matches_oracle(spark, scale, name):
     sf_dir, con = scale
     assert compare(spark, con, name, sf_dir) == []
+
+
+@pytest.mark.parametrize(
+    "name", ["q07_deviation_quantiles", "q10_supplier_deciles", "q13_temperature_summary"]
+)
+def test_large_table_path_matches_oracle(spark, monkeypatch, name):
+    """The way taken beyond the in-place size, on tables that would not need it."""
+    from freightlens.operators import order_stats
+
+    monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
+    sf_dir = f"{TESTDATA}/sf0.01"
+    assert compare(spark, duck(sf_dir), name, sf_dir) == []

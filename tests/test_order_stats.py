@@ -116,6 +116,8 @@ NTILE_CASES = {
 
 @pytest.mark.parametrize("case", NTILE_CASES)
 def test_ntile_equals_window(spark, path, case):
+    if path == "ranges only" and case not in ("null keys", "hot key"):
+        pytest.skip("differs from the sketched path only in how ranks are found")
     n, tiles, make = NTILE_CASES[case]
     rng = random.Random(11)
     rows = [(i, make(rng)) for i in rng.sample(range(10 * n), n)]
@@ -134,7 +136,7 @@ def test_ntile_of_nothing(spark, path):
     assert exact_ntile(df, "tile", 4, "k", "id").collect() == []
 
 
-def test_ntile_does_not_depend_on_partitioning(spark, path):
+def test_ntile_does_not_depend_on_partitioning(spark):
     df = spark.range(2000).select("id", (F.col("id") % 13).cast("double").alias("k"))
     one = exact_ntile(df.repartition(1), "tile", 7, "k", "id")
     many = exact_ntile(df.repartition(9, "k"), "tile", 7, "k", "id")
