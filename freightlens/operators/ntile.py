@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from freightlens.operators.order_stats import locate_ranks
+from freightlens.operators import order_stats
 
 
 def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str) -> DataFrame:
@@ -15,7 +15,8 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
 
     ``tie_break`` must be unique. The table itself is not shuffled: a tile
     number follows from comparing a row with the last row of each earlier tile,
-    and only those ``tiles - 1`` cut rows are searched for. The search reads the
+    and only those ``tiles - 1`` cut rows are searched for: first the key at each
+    cut, then, inside a run of equal keys, the tie-break. The search reads the
     input several times, so pass a stored table rather than an expensive join.
     """
     cuts = _cuts(df, tiles, key, tie_break) if tiles > 1 else []
@@ -27,34 +28,40 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
 
 def _cuts(df: DataFrame, tiles: int, key: str, tie_break: str) -> list[Row]:
     """Key and tie-break of the last row of each tile but the last."""
-
-    def tile_ends(n: Column) -> dict[str, Column]:
-        size, larger = F.floor(n / F.lit(tiles)), n % F.lit(tiles)
-        return {
-            str(t): F.least(n, size * t + F.least(F.lit(t), larger)) for t in range(1, tiles)
-        }
-
-    ends = sorted(locate_ranks(df, key, tile_ends).collect(), key=lambda r: int(r["slot"]))
-
-    # A tile that ends inside a run of equal keys is cut by the tie-break there.
-    split = [r for r in ends if r["rank"] < r["before"] + r["ties"]]
-    ties: dict[str, object] = {}
-    if split:
-
-        def in_run(end: Row) -> Column:
-            return F.col(key).eqNullSafe(F.lit(end["value"]))
-
-        runs = df.filter(reduce(Column.__or__, map(in_run, split)))
-        rows = sum({r["before"]: r["ties"] for r in split}.values())
-        found = locate_ranks(
-            runs,
-            tie_break,
-            lambda _: {r["slot"]: F.when(in_run(r), r["rank"] - r["before"]) for r in split},
-            [key],
-            rows,
-        )
-        ties = {r["slot"]: r["value"] for r in found.collect()}
-    return [Row(key=r["value"], tie=ties.get(r["slot"])) for r in ends]
+    rows = df.count()
+    size, larger = divmod(rows, tiles)
+    ends = sorted({min(rows, size * t + min(t, larger)) for t in range(1, tiles)})
+    if rows <= order_stats.IN_PLACE_ROWS:
+        order = Window.orderBy("key", "tie")
+        numbered = df.select(
+            F.col(key).alias("key"), F.col(tie_break).alias("tie")
+        ).withColumn("rank", F.row_number().over(order))
+        return numbered.filter(F.col("rank").isin(ends)).orderBy("rank").collect()
+
+    found = order_stats.locate_ranks(
+        df, key, lambda _: {str(end): F.lit(end) for end in ends}, rows=rows
+    )
+    runs = sorted(found.collect(), key=lambda r: r["rank"])
+    ties = _ties_at(df, key, tie_break, [r for r in runs if r["rank"] < r["before"] + r["ties"]])
+    return [Row(key=r["value"], tie=ties.get(r["rank"])) for r in runs]
+
+
+def _ties_at(df: DataFrame, key: str, tie_break: str, split: list[Row]) -> dict[int, object]:
+    """The tie-break at each rank that falls inside a run of equal keys."""
+    if not split:
+        return {}
+
+    def in_run(end: Row) -> Column:
+        return F.col(key).eqNullSafe(F.lit(end["value"]))
+
+    found = order_stats.locate_ranks(
+        df.filter(reduce(Column.__or__, map(in_run, split))),
+        tie_break,
+        lambda _: {r["slot"]: F.when(in_run(r), r["rank"] - r["before"]) for r in split},
+        [key],
+        rows=sum({r["before"]: r["ties"] for r in split}.values()),
+    )
+    return {int(r["slot"]): r["value"] for r in found.collect()}
 
 
 def _after(key: Column, tie: Column, cut: Row) -> Column:
