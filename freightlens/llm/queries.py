@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from freightlens.llm import common
 from freightlens.llm.decontaminate import find_contamination
+from freightlens.llm.language_id import identify_languages
+from freightlens.llm.line_dedup import dedup_lines
+from freightlens.llm.near_dedup import near_duplicates
 from freightlens.llm.packing import pack
+from freightlens.llm.quality import classify_quality
 from freightlens.llm.secret_scan import joined_spans, scan_secrets
 from freightlens.llm.sharding import rendezvous_shard, with_shards, with_slots
+from freightlens.llm.topk import top_k
 from freightlens.llm.url_filter import Rule, filter_urls, url_host
 
 #: Fixed values of the query on URLs.
@@ -38,6 +43,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, grade): 0 toxic, 1 poor, 2 good."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(
+        table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang")
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -51,6 +68,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = dedup_lines(docs)
+    return found.select(
+        "doc_id",
+        "text",
+        "n_lines",
+        F.size("deleted_lines").alias("n_deleted"),
+        F.array_join("deleted_lines", ",").alias("deleted_lines"),
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     spam = pages.where(url_host(F.col("url")).rlike("|".join(SPAM_TERMS))).select("url")
@@ -91,15 +120,40 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = classify_quality(docs, graded_labels(spark, sf_dir))
+    return judged.select(
+        "doc_id",
+        F.round("expected_grade", 6).alias("expected_grade"),
+        F.round("tail_probability", 6).alias("tail_probability"),
+        "kept",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_fusion": op1_language_fusion,
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_rendezvous": op5_rendezvous,
     "op6_secret_scan": op6_secret_scan,
+    "op7_minhash_join": op7_minhash_join,
+    "op8_threshold_topk": op8_threshold_topk,
     "op9_packing": op9_packing,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
