@@ -5,10 +5,8 @@ in the list: a blocked Bloom filter lets possible hits pass to an exact join wit
 list, which removes the false positives; all others are known not to be listed and
 are not shuffled.
 
-The filter has 256-bit blocks of eight 32-bit words. A URL's hash names its block and
-one bit in each word, so a look-up is one join with the broadcast blocks. The number of
-blocks follows the list's size up to ``max_blocks`` (a bound of the broadcast). Beyond it
-the filter passes more false positives to the join; the result stays exact.
+The filter's size follows the list's up to ``max_blocks`` (a bound of the broadcast).
+Beyond it the filter passes more false positives to the join; the result stays exact.
 
 Defined cases: null, or text without "://", has an empty host and path and no canonical
 URL; it gets the default verdict. An empty list blocks nothing. Repeated rows are
@@ -18,19 +16,13 @@ judged alike. Columns that bear the name of a result column are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightlens.llm.bloom import MAX_BLOCKS, block_count, with_possible
 from freightlens.llm.common import lower_ascii, without
 
-WORDS = 8
-#: Bits of the filter for each listed URL: about 1 in 1000 others passes.
-BITS_PER_URL = 16
-#: 2**18 blocks are 8 MB of bits.
-MAX_BLOCKS = 1 << 18
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,42 +82,17 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return name, verdict
 
 
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), url), F.lit(blocks))
-
-
-def _masks(url: Column) -> list[Column]:
-    """The bit of each word that a URL sets: five bits of a second hash for each word."""
-    code = F.xxhash64(F.lit("bits"), url)
-    one = F.lit(1).cast("long")
-    shifts = [F.shiftrightunsigned(code, 5 * k).bitwiseAND(31).cast("int") for k in range(WORDS)]
-    return [F.call_function("shiftleft", one, s) for s in shifts]
-
-
-def bloom_blocks(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """The filter: a row for each block that holds a URL, with its words w0 to w7."""
-    masked = listed.select(
-        _block(F.col(url), blocks).alias("block"),
-        *(m.alias(f"w{k}") for k, m in enumerate(_masks(F.col(url)))),
-    )
-    return masked.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
-
-
-def listed_urls(df: DataFrame, listed: DataFrame, url: str, listed_url: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def listed_urls(
+    df: DataFrame, listed: DataFrame, url: str, listed_url: str, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
     """The frame with a column ``listed``; ``url`` and ``listed_url`` are canonical.
 
     Counts the list when called, to size the filter.
     """
     own = listed.select(F.col(listed_url).alias("__url")).where("__url is not null").distinct()
-    blocks = min(max_blocks, max(1, -(-own.count() * BITS_PER_URL // 256)))
     base = without(df, "listed")
-    keyed = base.withColumn("__block", _block(F.col(url), blocks))
-    held = F.broadcast(bloom_blocks(own, "__url", blocks).withColumnRenamed("block", "__block"))
-    bits = [F.col(f"w{k}").bitwiseAND(m) == m for k, m in enumerate(_masks(F.col(url)))]
-    passes = reduce(lambda a, b: a & b, bits)
-    tested = keyed.join(held, "__block", "left").withColumn(
-        "__maybe", F.coalesce(passes, F.lit(False)) & F.col(url).isNotNull()
-    ).select(*(F.col(f"`{c}`") for c in base.columns), "__maybe")
+    blocks = block_count(own.count(), max_blocks)
+    tested = with_possible(base, url, own, "__url", blocks)
     out = tested.where(~F.col("__maybe")).drop("__maybe").withColumn("listed", F.lit(False))
     possible = tested.where("__maybe").drop("__maybe")
     exact = possible.join(
