@@ -1,7 +1,7 @@
 """Quality classifier: ordinal regression with a cumulative link on hashed text.
 
-A document's features are the presence of its words, and the shares of its word shapes
-and of immediate repetitions, all hashed into one weight vector. Its score f is shared
+A document's features are the presence of its words and of their beginnings, and the
+shares of its word shapes and of immediate repetitions, all hashed into one weight vector. Its score f is shared
 by all grades; ordered thresholds t_0 < t_1 < ... cut it, P(grade <= j) = s(t_j - f) with
 the logistic s. The expected grade and the tail probability P(grade >= g) follow.
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.llm.common import (
+    ALPHANUMERIC,
     LOWER,
     NOT_BLANK,
     byte_arrays,
@@ -35,13 +36,17 @@ from freightlens.llm.common import (
     word_hashes,
 )
 
-#: Weights of the model, a power of two.
-BUCKETS = 1 << 18
+#: Buckets of the hash, a power of two.
+BUCKETS = 1 << 22
+#: Buckets that fewer rated documents have get no weight.
+LEAST_DOCUMENTS = 5
 #: Rated documents that the model is fitted on.
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 #: How many times a share counts as much as the presence of a word.
 SHARE_WEIGHT = 8.0
-PENALTY = 1e-3
+PENALTY = 3e-4
+#: Bytes of the word beginnings that count as features besides whole words.
+PREFIXES = (4, 6)
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -52,11 +57,19 @@ _SHAPE[0x80:] = ord("a")
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Weights by bucket and ordered thresholds, one less than there are grades."""
+    """Weights of some buckets, in order, and ordered thresholds, one less than grades."""
 
+    buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def score(self, buckets: np.ndarray, values: np.ndarray) -> float:
+        if not self.buckets.size:
+            return 0.0
+        at = np.minimum(np.searchsorted(self.buckets, buckets), self.buckets.size - 1)
+        own = self.buckets[at] == buckets
+        return float(np.sum(self.weights[at[own]] * values[own]))
+
     def below(self, score: np.ndarray) -> np.ndarray:
         """P(grade <= j) for each score (row) and threshold (column)."""
         return _logistic(self.thresholds[None, :] - score[:, None])
@@ -75,8 +88,14 @@ def features(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(text, NOT_BLANK)
     if not starts.size:
         return np.empty(0, np.int64), np.empty(0)
-    words = word_hashes(LOWER[text], starts, ends)
-    present = np.unique(_buckets(words, 1))
+    low = LOWER[text]
+    words = word_hashes(low, starts, ends)
+    first, last = word_bounds(text, ALPHANUMERIC)  # words without the marks around them
+    parts = [_buckets(word_hashes(low, first, last), 1)]
+    for kind, size in enumerate(PREFIXES, start=4):
+        long = last - first > size
+        parts.append(_buckets(word_hashes(low, first[long], first[long] + size), kind))
+    present = np.unique(np.concatenate(parts))
 
     inside = NOT_BLANK[text]
     classes = _SHAPE[text]
@@ -137,10 +156,14 @@ def fit_ordinal(
 ) -> OrdinalModel:
     """Maximum likelihood with a squared penalty on the weights, for grades 0 to count - 1."""
     sizes = np.array([b.size for b, _ in rows], np.int64)
-    buckets = np.concatenate([b for b, _ in rows])
+    buckets = np.concatenate([b.astype(np.int32) for b, _ in rows])
     values = np.concatenate([v for _, v in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    used, column = np.unique(buckets, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    used, column, documents = np.unique(buckets, return_inverse=True, return_counts=True)
+    frequent = documents >= min(LEAST_DOCUMENTS, len(rows))
+    keep = frequent[column]
+    column = (np.cumsum(frequent) - 1)[column[keep]]
+    used, values, owner = used[frequent], values[keep], owner[keep]
     n, d = len(rows), used.size
     top = count - 1
     share = np.array([(grades <= j).mean() for j in range(top)])
@@ -172,9 +195,7 @@ def fit_ordinal(
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
     x = _minimise(loss, np.concatenate([np.zeros(d), start[:1], gaps]), rounds)
     weights, cuts = parts(x)
-    whole = np.zeros(BUCKETS, np.float32)
-    whole[used] = weights
-    return OrdinalModel(whole, cuts)
+    return OrdinalModel(used, weights, cuts)
 
 
 def fit_quality(
@@ -204,7 +225,7 @@ def fit_quality(
 
     def fit(all_rows: pa.Table) -> pa.Table:
         rows = [
-            (np.frombuffer(b, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64))
+            (np.frombuffer(b, "<i4"), np.frombuffer(v, "<f4"))
             for b, v in zip(
                 all_rows.column("buckets").to_pylist(), all_rows.column("vals").to_pylist(), strict=True
             )
@@ -212,16 +233,24 @@ def fit_quality(
         model = fit_ordinal(rows, all_rows.column("grade").to_numpy(), grades)
         return pa.table(
             {
-                "weights": pa.array([model.weights.tobytes()], pa.binary()),
+                "buckets": pa.array([model.buckets.astype("<i4").tobytes()], pa.binary()),
+                "weights": pa.array([model.weights.astype("<f8").tobytes()], pa.binary()),
                 "thresholds": pa.array([model.thresholds.tolist()], pa.list_(pa.float64())),
             }
         )
 
-    one = made.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "weights binary, thresholds array<double>")
+    one = made.groupBy(F.lit(0).alias("all")).applyInArrow(
+        fit, "buckets binary, weights binary, thresholds array<double>"
+    )
     row = one.first()
     if row is None:
-        return OrdinalModel(np.zeros(BUCKETS, np.float32), np.arange(grades - 1) - float(grades - 2))
-    return OrdinalModel(np.frombuffer(row["weights"], np.float32), np.array(row["thresholds"]))
+        none = np.empty(0)
+        return OrdinalModel(none.astype(np.int64), none, np.arange(grades - 1) - float(grades - 1))
+    return OrdinalModel(
+        np.frombuffer(row["buckets"], "<i4").astype(np.int64),
+        np.frombuffer(row["weights"], "<f8"),
+        np.array(row["thresholds"]),
+    )
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, tail: int, text: str = "text") -> DataFrame:
@@ -231,7 +260,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, tail: int, text: str = "
         scores = []
         for data in byte_arrays(column):
             buckets, values = features(data) if data is not None else (np.empty(0, np.int64), np.empty(0))
-            scores.append(float(model.weights[buckets] @ values) if buckets.size else 0.0)
+            scores.append(model.score(buckets, values))
         below = model.below(np.array(scores, float))
         expected = model.thresholds.size - below.sum(axis=1)
         return [expected.tolist(), (1 - below[:, tail - 1]).tolist()]

@@ -1,0 +1,147 @@
+"""Plain Python versions of the operators' contracts, for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import xxhash
+
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_ALPHANUMERIC = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_NOT_BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def contamination(docs, items, n=10):
+    """doc_id -> (n_words, n_hit, items) for (doc_id, text) rows and (item_id, text) rows."""
+    windows = defaultdict(set)
+    for item, text in items:
+        words = _ALPHANUMERIC.findall((text or "").translate(_ASCII_LOWER))
+        size = min(n, len(words))
+        for k in range(len(words) - size + 1 if size else 0):
+            windows[tuple(words[k : k + size])].add(str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        words = _ALPHANUMERIC.findall((text or "").translate(_ASCII_LOWER))
+        hit, found = set(), set()
+        for size in sizes:
+            for k in range(len(words) - size + 1):
+                own = windows.get(tuple(words[k : k + size]))
+                if own:
+                    hit.update(range(k, k + size))
+                    found |= own
+        names = ",".join(sorted(found))
+        out.append(
+            (doc, len(words), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
+        )
+    return out
+
+
+def shingles(text, size=5):
+    words = _NOT_BLANK.findall((text or "").translate(_ASCII_LOWER))
+    if not words:
+        return frozenset()
+    size = min(size, len(words))
+    return frozenset(tuple(words[k : k + size]) for k in range(len(words) - size + 1))
+
+
+def near_groups(docs, percent):
+    """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows; ids are unique."""
+    sets = {doc: shingles(text) for doc, text in docs}
+    holders, root = defaultdict(list), {doc: doc for doc in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first = {}
+    for doc, own in sets.items():
+        if own and own in first:
+            root[find(doc)] = find(first[own])
+        elif own:
+            first[own] = doc
+    for own, doc in first.items():
+        shared = defaultdict(int)
+        for s in own:
+            for other in holders[s]:
+                shared[other] += 1
+            holders[s].append(doc)
+        for other, both in shared.items():
+            if 100 * both >= percent * (len(own) + len(sets[other]) - both):
+                root[find(doc)] = find(other)
+    least = {}
+    for doc in sets:
+        least[find(doc)] = min(doc, least.get(find(doc), doc))
+    return [(d, len(s), least[find(d)], least[find(d)] == d) for d, s in sets.items()]
+
+
+def top_scores(rows, is_query, k=20, scale=64):
+    """(query_id, rank, vec_id, score) of (vec_id, components) rows."""
+    whole = [
+        (i, [math.floor(scale * float(x)) for x in v])
+        for i, v in rows
+        if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for q, a in whole:
+        if is_query(q):
+            scored = sorted(
+                (-sum(x * y for x, y in zip(a, b)), i)
+                for i, b in whole
+                if i != q and len(a) == len(b)
+            )
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+_PATTERNS = [
+    (
+        "assign",
+        re.compile(
+            r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        ),
+    ),
+    ("access", re.compile("AKIA[A-Z0-9]+")),
+    ("hex", re.compile("[0-9a-f]+")),
+]
+
+
+def base_secrets(text):
+    """(n_assign, n_access, n_hex, "kind:start:end,...")"""
+    found = []
+    for order, (kind, pattern) in enumerate(_PATTERNS):
+        for m in pattern.finditer(text or ""):
+            if kind == "assign" and len(m.group(2)) < 6 or kind == "access" and len(m.group()) < 20:
+                continue
+            if kind == "hex" and len(m.group()) < 24:
+                continue
+            found.append((m.start(), order, kind, m.end()))
+    found.sort()
+    counts = [sum(f[2] == kind for f in found) for kind, _ in _PATTERNS]
+    return (*counts, ",".join(f"{k}:{a}:{b}" for a, _, k, b in found))
+
+
+def shard_of(key, count):
+    """The rendezvous shard of an integer key among equal shards."""
+    costs = []
+    for shard in range(count):
+        # a null adds nothing to the running hash
+        code = 42 if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+        code = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), code)
+        costs.append((-math.log(((code >> 11) + 0.5) / 2**53), shard))
+    return min(costs)[1]
+
+
+def crc(text):
+    return zlib.crc32((text or "").encode())
+
+
+def token_ids(tokenizer, text, end=2):
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
