@@ -1,8 +1,9 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table by repeated star contraction.
 
-Nothing is collected: each round is two grouped minima and two joins, and its edges are
-stored in the shared folder, so a lost executor costs a re-read. The rounds grow with
-the logarithm of the longest path.
+Each round ties every node and its neighbours to the least of them, which keeps what is
+connected and shortens paths until every component is a star around its least node.
+Nothing is collected: a round is a grouped minimum, a join and a distinct, and its edges
+are stored in the shared folder, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -18,21 +19,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
-        edges.select(F.col("m").alias("u"), F.col("v").alias("w"))
+def _contracted(edges: DataFrame) -> DataFrame:
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("w")),
+            F.struct(F.col("m").alias("u"), F.col("v").alias("w")),
+        )
     )
+    both = edges.select(ends.alias("e")).select("e.u", "e.w")
     least = both.groupBy("u").agg(F.min("w").alias("least"))
-    pairs = both.join(least, "u").where("w > u")
-    return pairs.select(F.col("w").alias("v"), F.least("u", "least").alias("m"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("v").agg(F.min("m").alias("least"))
-    moved = edges.join(least, "v").where("m > least")
-    return moved.select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(
-        least.select("v", F.col("least").alias("m"))
+    least = least.select("u", F.least("u", "least").alias("least"))
+    # a hot node's rows are many on one side only, which a skewed join splits
+    tied = both.join(least, "u").select(
+        F.explode(F.array("u", "w")).alias("v"), F.col("least").alias("m")
     )
+    return tied.where("v != m").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,8 +47,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     current = stored(current.distinct(), "edges")
     state = _state(current)
     while state[0]:
-        # large stars may repeat an edge; the grouped minima of small stars do not mind
-        current = stored(_small_star(_large_star(current)).distinct(), "edges")
+        current = stored(_contracted(current), "edges")
         before, state = state, _state(current)
         if state == before:
             break

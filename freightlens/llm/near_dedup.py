@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from freightlens.llm.bloom import block_count, with_possible
 from freightlens.llm.common import (
     LOWER,
     NOT_BLANK,
@@ -149,7 +150,9 @@ def _cells(blocks: Column, own: Column) -> Column:
 
 
 def _forest(link: np.ndarray, names: list[bytes]) -> pa.Table:
-    """Each member of a component, but its first, with that first member."""
+    """Each member of a component, but its least, with that least member."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    link, names = link[np.ix_(order, order)], [names[k] for k in order]
     root = np.full(len(names), -1)
     for first in range(len(names)):
         if root[first] >= 0:
@@ -243,10 +246,11 @@ def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
         .select(F.col("pivot").alias("a"), F.col("class").alias("b"))
     )
     stars = stored(stars, "stars")
-    groups = connected_components(stars)
-
-    grouped = posted.join(groups, posted["class"] == groups["node"], "left").select(
-        "code", "class", F.coalesce("root", "class").alias("group")
+    # a class belongs to the least class it was matched with; that is enough to see most
+    # of what is joined already, and what it misses is only compared once more
+    matched = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    grouped = posted.join(matched, posted["class"] == matched["node"], "left").select(
+        "code", "class", F.least(F.coalesce("root", "class"), "class").alias("group")
     )
     lists = grouped.groupBy("code").agg(
         F.count(F.lit(1)).alias("n"), F.min("group").alias("g"), F.max("group").alias("h")
@@ -294,6 +298,10 @@ def confirmed_links(
     texts = docs.select(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")
     )
+    # only texts that may be members' are shuffled to them
+    wanted = members.select("first").distinct()
+    texts = with_possible(texts, "id", wanted, "first", block_count(wanted.count()))
+    texts = texts.where("__maybe")
     found = texts.join(members, texts["id"] == members["first"]).select(
         "group", "class", "blocks", "text"
     )
