@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -14,25 +15,33 @@ CACHE_WORDS, CACHE_CORE = 400_000, 200_000
 _BLANKS = re.compile("[ \n]+")
 
 
-def _drops_white_space(path: str) -> bool:
-    """Whether the file's text rules make ids of each blank-separated part on its own.
+#: How a file's rules must look for words to be encoded one by one, and for
+#: plain words to go to its merges directly.
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = frozenset(".,!?;:")
 
-    That holds if white space is dropped before the merges and the normalisation looks
-    at no more than adjoining characters.
+
+def _splits_words(path: str) -> bool:
+    """Whether the file drops white space and splits what is between into letters, digits
+    and marks, in lower case, before it merges bytes.
+
+    Then a text's ids are those of its blank-separated parts, one after the other, and a
+    mark after a letter starts a part of its own. (Letters beyond Latin-1 are left out, as
+    a few become two characters in lower case.)
     """
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)
-    steps = rules.get("normalizer") or {}
-    steps = steps.get("normalizers", [steps] if steps else [])
-    splits = rules.get("pre_tokenizer") or {}
-    first = (splits.get("pretokenizers") or [splits])[0]
+    normal = (rules.get("normalizer") or {}).get("normalizers", [])
+    before = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    steps = [(s["type"], s.get("pattern", {}).get("Regex")) for s in normal]
     return (
-        all(s["type"] in ("NFC", "Replace", "Lowercase") for s in steps)
-        and first.get("type") == "Split"
-        and first.get("behavior") == "Removed"
-        and first.get("invert") is True
-        and r"\s" not in first["pattern"].get("Regex", r"\s").replace(r"[^\s", "")
-        and not any(t.get("single_word") for t in rules.get("added_tokens", []))
+        steps == _NORMAL
+        and [s["type"] for s in before] == ["Split", "ByteLevel"]
+        and before[0]["pattern"].get("Regex") == _SPLIT
+        and (before[0]["behavior"], before[0]["invert"]) == ("Removed", True)
+        and not before[1]["add_prefix_space"]
+        and not any(t["single_word"] or t["normalized"] for t in rules["added_tokens"])
     )
 
 
@@ -44,13 +53,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_word = _drops_white_space(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"<{self.code}")
+        self.by_word = _splits_words(path)
         self.cache: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+        return [self._packed(e.ids) for e in encoded]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Add words to the cache, which share the ids of what comes before a mark.
+
+        Plain words share those of their lower-case letters, too, and need the merges only.
+        """
+        made, others = [], {}
+        for word in words:
+            core, mark = word, ""
+            if word[-1:] in _MARKS and word[-2:-1].isalpha() and word[-2] <= "\xff":
+                core, mark = word[:-1], word[-1]
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+                if core not in self.cache:
+                    ids = [t.id for t in self.tokenizer.model.tokenize(core)]
+                    self.cache[core] = self._packed(ids)
+            elif core not in self.cache:
+                others[core] = None
+            if mark and mark not in self.cache:
+                others[mark] = None
+            made.append((word, core, mark))
+        self.cache.update(zip(others, self._bytes(list(others)), strict=True))
+        for word, core, mark in made:
+            self.cache[word] = self.cache[core] + (self.cache[mark] if mark else b"")
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
@@ -63,7 +100,7 @@ class Encoder:
                 for word in list(cache)[CACHE_CORE:]:
                     del cache[word]
                 unknown = [w for w in set(words) if w not in cache]
-            cache.update(zip(unknown, self._bytes(unknown), strict=True))
+            self._learn(unknown)
         return b"".join([cache[w] for w in words])
 
 
