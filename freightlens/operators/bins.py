@@ -15,10 +15,10 @@ def bin_column(value: Column, below: Sequence[float], labels: Sequence[str]) ->
     """
     if len(labels) != len(below) + 1:
         raise ValueError("need one label more than cut points")
-    ladder = F
-    for cut, label in zip(below, labels):
-        ladder = ladder.when(value < cut, label)
-    return ladder.otherwise(labels[-1])
+    binned = F.lit(labels[-1])
+    for cut, label in reversed(list(zip(below, labels))):
+        binned = F.when(value < cut, label).otherwise(binned)
+    return binned
 
 
 def label_rank(label: Column, labels: Sequence[str]) -> Column:

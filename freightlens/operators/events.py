@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.operators.order_stats import range_cuts, range_number
 from freightlens.sources.scratch import stored
 
 
-def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> DataFrame:
+def transition_events(
+    df: DataFrame, at: str, tie_break: str, state: str, ranges: int | None = None
+) -> DataFrame:
     """Times at which the state differs from the previous row in (at, tie_break) order.
 
     Returns ``at``, ``prev_state``, ``state`` and ``part``, the time range the change
@@ -17,14 +20,20 @@ def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> Dat
 
     The series is cut into time ranges, each compared row by row on its own.
     Only distinct changes and each range's first and last row are kept; a first
-    row then takes its previous state from the range before it.
+    row then takes its previous state from the range before it. The cuts come from a
+    sketch, so rows are dealt to their range by the one shuffle that the comparison
+    needs; a moment that many rows share is cut by the tie-break. Sketches and stores
+    when called.
     """
     inside = Window.partitionBy("part").orderBy("at", "tie")
     changed = F.col("state") != F.col("prev_state")
+    series = df.select(
+        F.col(at).alias("at"), F.col(tie_break).alias("tie"), F.col(state).alias("state")
+    )
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = range_cuts(series, "at", "tie", parts)
     compared = (
-        df.select(F.col(at).alias("at"), F.col(tie_break).alias("tie"), F.col(state).alias("state"))
-        .repartitionByRange("at", "tie")
-        .withColumn("part", F.spark_partition_id())
+        series.withColumn("part", range_number(series, "at", "tie", cuts))
         .withColumns(
             {
                 "prev_state": F.lag("state").over(inside),
@@ -34,7 +43,7 @@ def transition_events(df: DataFrame, at: str, tie_break: str, state: str) -> Dat
         )
         .filter(F.col("opens") | F.col("closes") | changed)
     )
-    # Already partitioned by range, so this collapses without a shuffle.
+    # Still partitioned by range, so this collapses without a shuffle.
     kept = stored(
         compared.groupBy("part", "at", "prev_state", "state", "opens", "closes").agg(
             F.max("tie").alias("tie")

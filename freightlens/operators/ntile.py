@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from freightlens.operators import order_stats
@@ -16,8 +16,9 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
     ``tie_break`` must be unique. The table itself is not shuffled: a tile
     number follows from comparing a row with the last row of each earlier tile,
     and only those ``tiles - 1`` cut rows are searched for: first the key at each
-    cut, then, inside a run of equal keys, the tie-break. The search reads the
-    input several times, so pass a stored table rather than an expensive join.
+    cut, then, inside a run of equal keys, the tie-break. The search runs when this is
+    called and reads the input several times, so pass a stored table rather than an
+    expensive join.
     """
     cuts = _cuts(df, tiles, key, tie_break) if tiles > 1 else []
     tile = F.lit(len(cuts) + 1)
@@ -28,20 +29,16 @@ def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str)
 
 def _cuts(df: DataFrame, tiles: int, key: str, tie_break: str) -> list[Row]:
     """Key and tie-break of the last row of each tile but the last."""
-    rows = df.count()
-    size, larger = divmod(rows, tiles)
-    ends = sorted({min(rows, size * t + min(t, larger)) for t in range(1, tiles)})
-    if rows <= order_stats.IN_PLACE_ROWS:
-        order = Window.orderBy("key", "tie")
-        numbered = df.select(
-            F.col(key).alias("key"), F.col(tie_break).alias("tie")
-        ).withColumn("rank", F.row_number().over(order))
-        return numbered.filter(F.col("rank").isin(ends)).orderBy("rank").collect()
+
+    def end(n: Column, tile: int) -> Column:
+        """The last row of a tile; tiles that would be empty share the last row."""
+        size = F.floor(n / tiles)
+        return F.least(n, size * tile + F.least(n - size * tiles, F.lit(tile)))
 
     found = order_stats.locate_ranks(
-        df, key, lambda _: {str(end): F.lit(end) for end in ends}, rows=rows
+        df, key, lambda n: {str(t): end(n, t) for t in range(1, tiles)}
     )
-    runs = sorted(found.collect(), key=lambda r: r["rank"])
+    runs = sorted({r["rank"]: r for r in found}.values(), key=lambda r: r["rank"])
     ties = _ties_at(df, key, tie_break, [r for r in runs if r["rank"] < r["before"] + r["ties"]])
     return [Row(key=r["value"], tie=ties.get(r["rank"])) for r in runs]
 
@@ -57,11 +54,11 @@ def _ties_at(df: DataFrame, key: str, tie_break: str, split: list[Row]) -> dict[
     found = order_stats.locate_ranks(
         df.filter(reduce(Column.__or__, map(in_run, split))),
         tie_break,
-        lambda _: {r["slot"]: F.when(in_run(r), r["rank"] - r["before"]) for r in split},
+        lambda _: {str(r["rank"]): F.when(in_run(r), r["rank"] - r["before"]) for r in split},
         [key],
-        rows=sum({r["before"]: r["ties"] for r in split}.values()),
+        few=True,  # no more runs than tiles
     )
-    return {int(r["slot"]): r["value"] for r in found.collect()}
+    return {int(r["slot"]): r["value"] for r in found}
 
 
 def _after(key: Column, tie: Column, cut: Row) -> Column:

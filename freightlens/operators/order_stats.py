@@ -1,4 +1,10 @@
-"""Exact order statistics without sorting a whole column or group in one task."""
+"""Exact order statistics without sorting a column or a group in one task.
+
+One way at every size: a quantile sketch tells between which values a wanted rank lies,
+rows outside these brackets collapse to one count per gap, and the rank is counted out
+among the few values inside. Brackets of large inputs are narrowed by further sketches
+of the rows inside them, each some three hundred times smaller, until they hold few values.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,226 +25,335 @@ RANK_RULES: dict[str, Callable[[Column, Decimal], Column]] = {
     "floor": lambda n, p: F.floor((n - 1) * F.lit(p)) + 1,
 }
 
-# A table up to this many rows is ranked with one plain window per group.
-IN_PLACE_ROWS = 1_000_000
-
-# Quantile sketch: its size, the steps of the grid read from it, the steps a
-# rank may be off, and the most groups whose grids are broadcast.
+# Quantile sketch: its size, the steps of the grid read from it, and the steps a rank
+# may be off. Ranks that were missed all the same are looked for again with more steps.
 SKETCH_SIZE = 4000
 GRID_STEPS = 2000
 GRID_MARGIN = 2
-SKETCHED_GROUPS = 1000
+# Values inside the brackets of one group that are counted out together.
+CELLS = 50_000
 
 Ranks = Mapping[str, Column]
 
+_SLOT = "struct<slot:string,rank:bigint,from:double,to:double>"
+
+
+def ordinal(value: Column, kind: T.DataType) -> Column:
+    """A double that never decreases as the value grows; NULL for NULL."""
+    if isinstance(kind, T.NumericType):
+        return value.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, value).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.StringType):  # by its first six bytes
+        first = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(first, 16, 10).cast("double")
+    raise TypeError(f"cannot rank values of type {kind.simpleString()}")
+
+
+def quantile_grid(v: Column, steps: int) -> Column:
+    """Aggregate: ``steps`` + 1 sketched quantiles of a double; NULL without any."""
+    # as text: the function wants a constant array
+    fractions = ", ".join(f"{i / steps}D" for i in range(steps + 1))
+    sketch = F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE))
+    # an empty sketch has no quantiles; it ignores NaN
+    filled = F.count_if(v.isNotNull() & ~F.isnan(v)) > 0
+    return F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.expr(f"array({fractions})")))
+
 
 def locate_ranks(
     df: DataFrame,
     value: str,
     wanted: Callable[[Column], Ranks],
     group_by: Sequence[str] = (),
-    rows: int | None = None,
-) -> DataFrame:
+    few: bool = False,
+) -> DataFrame | list[Row]:
     """Find the values that hold given ranks in each group, NULLs ranked first.
 
-    ``wanted`` turns the group's row count into slot -> rank; a NULL rank is not
-    looked for. The result has one row per found slot: the group columns,
-    ``slot``, ``rank``, ``value``, ``before`` (rows with a smaller value) and
-    ``ties`` (rows with this value). ``rows`` is the table size, if known.
+    ``wanted`` turns the group's row count into slot -> rank; a NULL rank is not looked
+    for. The result has one row per found slot: the group columns, ``slot``, ``rank``,
+    ``value``, ``before`` (rows with a smaller value) and ``ties`` (rows with this value).
 
-    Equal values collapse to one count before anything is sorted. Beyond
-    ``IN_PLACE_ROWS``, a quantile sketch of numeric values first tells where the
-    ranks lie, and all values elsewhere collapse to one count per gap; what is
-    left is cut into value ranges and searched there. Should the sketch miss a
-    rank, the search is repeated without it, so the result is exact either way.
+    Runs jobs when called: one per sketch and one that counts, each a pass over ``df``.
+    Without groups, or if the caller vouches for ``few`` of them, rows are returned as a
+    list and nothing is stored; otherwise they come as a stored table.
     """
     groups = list(group_by)
-    rows = df.count() if rows is None else rows
-    ranks = wanted(F.col("n") if groups else F.lit(rows))
-    if rows <= IN_PLACE_ROWS:
-        return _pick(_rank_in_place(_count_values(df, value, groups), groups), groups, ranks)
-
-    if isinstance(df.schema[value].dataType, T.NumericType):
-        brackets = stored(_rank_brackets(df, value, groups, ranks), "rank-brackets")
-        if brackets.count() <= SKETCHED_GROUPS:
-            cells = _count_around_ranks(df, value, groups, brackets)
-            found = stored(_search_ranges(cells, groups, ranks), "located")
-            if found.filter(~F.col("exact")).isEmpty():
-                return found
-    return _search_ranges(_count_values(df, value, groups), groups, ranks)
-
-
-def _count_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    counts = df.groupBy(*groups, F.col(value).alias("low")).agg(
-        F.count(F.lit(1)).alias("ties")
-    )
-    return counts.withColumn("high", F.col("low"))
+    few = few or not groups
+    margin = GRID_MARGIN
+    while True:
+        state = _narrowed(df, value, groups, wanted, margin, few)
+        found = _count_out(df, value, groups, state)
+        if few:
+            rows = found.collect()
+            if all(r["exact"] for r in rows):
+                return rows
+        else:
+            kept = stored(found, "located")
+            if kept.filter(~F.col("exact")).isEmpty():
+                return kept
+        margin = 8 * margin + 1  # a wider bracket; in the end it is the whole range
+
+
+def _narrowed(
+    df: DataFrame,
+    value: str,
+    groups: list[str],
+    wanted: Callable[[Column], Ranks],
+    margin: int,
+    few: bool,
+) -> DataFrame | list:
+    """Per group, ``near``: an array of slots with their rank and bracket.
 
+    A NULL bound leaves that side open. Ranks that are not looked for or fall among the
+    NULLs have no slot or open brackets below the least value.
+    """
+    v = ordinal(F.col(value), df.schema[value].dataType)
+    ranks = wanted(F.col("n"))
+    step = GRID_STEPS
 
-def _rank_brackets(df: DataFrame, value: str, groups: list[str], ranks: Ranks) -> DataFrame:
-    """Per group, the value interval each wanted rank should lie in, as column ``near``.
+    def bracket(grid: Column, rank: Column, present: Column) -> tuple[Column, Column]:
+        at = F.try_divide(rank * step, present)
 
-    A NULL bound leaves that side open. A rank that is not looked for or falls
-    among the NULLs has no interval.
-    """
-    v = F.col(value).cast("double")
-    # as text: the function wants a constant array
-    steps = ", ".join(f"{i / GRID_STEPS}D" for i in range(GRID_STEPS + 1))
-    sketch = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(value).alias("present"),
-        F.count_if(F.isnan(v)).alias("nan"),
-        F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE)).alias("sketch"),
-    )
-    # an empty sketch has no quantiles; it ignores NaN
-    filled = F.col("present") > F.col("nan")
-    sketch = sketch.withColumn(
-        "grid", F.when(filled, F.kll_sketch_get_quantile_double("sketch", F.expr(f"array({steps})")))
-    )
+        def bound(index: Column) -> Column:
+            return F.when(index >= 0, F.try_element_at(grid, index.cast("int") + 1))
 
-    def grid_value(index: Column) -> Column:
-        return F.when(index >= 0, F.try_element_at("grid", index.cast("int") + 1))
+        return bound(F.floor(at) - margin), bound(F.ceil(at) + margin)
 
-    def interval(rank: Column) -> Column:
-        among_present = rank - (F.col("n") - F.col("present"))
-        step = F.try_divide(among_present * GRID_STEPS, F.col("present") - F.col("nan"))
-        bounds = F.struct(
-            grid_value(F.floor(step) - GRID_MARGIN).alias("from"),
-            grid_value(F.ceil(step) + GRID_MARGIN).alias("to"),
+    def slot(name: str, rank: Column, lower: Column, upper: Column) -> Column:
+        made = F.struct(
+            F.lit(name).alias("slot"),
+            rank.cast("bigint").alias("rank"),
+            lower.alias("from"),
+            upper.alias("to"),
         )
-        return F.when(among_present > 0, bounds)
+        return F.when(rank.isNotNull(), made)
 
-    intervals = [interval(rank) for rank in ranks.values()]
-    return sketch.select(
+    first = df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(v).alias("present"),
+        F.count_if(F.isnan(v)).alias("nan"),
+        quantile_grid(v, step).alias("grid"),
+    )
+    slots = []
+    for name, rank in ranks.items():
+        among = rank - (F.col("n") - F.col("present"))
+        lower, upper = bracket(F.col("grid"), among, F.col("present") - F.col("nan"))
+        # among the NULLs nothing needs to be told apart
+        lowest = F.lit(float("-inf"))
+        slots.append(
+            slot(name, rank, F.when(among > 0, lower).otherwise(lowest), F.when(among > 0, upper).otherwise(lowest))
+        )
+    near = F.filter(F.array(*slots), lambda s: s.isNotNull()).cast(f"array<{_SLOT}>")
+    state = _kept(first.select(*(F.col(g).alias(f"_{g}") for g in groups), "n", near.alias("near")), few)
+    share = (2 * margin + 2) / step
+    most = _largest(state)
+    rows = most * share
+    while rows * len(ranks) > CELLS and share < 0.5:
+        state = _kept(_narrow_again(df, v, groups, state, list(ranks), bracket), few)
+        rows *= share
+    return state
+
+
+def _kept(state: DataFrame, few: bool) -> DataFrame | list:
+    return [state.collect(), state.schema] if few else stored(state, "brackets")
+
+
+def _largest(state: DataFrame | list) -> int:
+    if isinstance(state, list):
+        return max((r["n"] for r in state[0]), default=0)
+    return state.agg(F.max("n")).first()[0] or 0
+
+
+def _with_brackets(df: DataFrame, groups: list[str], state: DataFrame | list) -> DataFrame:
+    """The rows of ``df`` with their group's ``near`` and ``n``."""
+    if isinstance(state, list):
+        rows, schema = state
+        if not rows:
+            return df.limit(0).withColumns(
+                {"near": F.lit(None).cast(f"array<{_SLOT}>"), "n": F.lit(0).cast("bigint")}
+            )
+        if not groups:
+            row = rows[0]
+            near = F.array(
+                *(
+                    F.struct(
+                        F.lit(s["slot"]).alias("slot"),
+                        F.lit(s["rank"]).cast("bigint").alias("rank"),
+                        F.lit(s["from"]).cast("double").alias("from"),
+                        F.lit(s["to"]).cast("double").alias("to"),
+                    )
+                    for s in row["near"]
+                )
+            ).cast(f"array<{_SLOT}>")
+            return df.withColumns({"near": near, "n": F.lit(row["n"]).cast("bigint")})
+        # as many rows as the caller has groups, which are few
+        state = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
+    return df.join(state, same)
+
+
+def _named(name: str) -> Callable[[Column], Column]:
+    return lambda slot: slot["slot"] == name
+
+
+def _narrow_again(
+    df: DataFrame,
+    v: Column,
+    groups: list[str],
+    state: DataFrame | list,
+    names: list[str],
+    bracket: Callable[[Column, Column, Column], tuple[Column, Column]],
+) -> DataFrame:
+    """Sketch the rows inside each bracket and bracket the rank among them."""
+    located = _with_brackets(df.withColumn("_v", v), groups, state)
+    measures: list[Column] = [F.first("n").alias("n"), F.first("near").alias("near")]
+    for at, name in enumerate(names):
+        own = F.get(F.filter("near", _named(name)), 0)
+        above = F.coalesce(F.col("_v") >= own["from"], F.lit(True))
+        inside = F.col("_v").isNotNull() & above & F.coalesce(F.col("_v") <= own["to"], F.lit(True))
+        measures += [
+            F.count_if(F.col("_v").isNull() | ~above).alias(f"below{at}"),
+            F.count_if(inside & ~F.isnan("_v")).alias(f"inside{at}"),
+            quantile_grid(F.when(inside, F.col("_v")), GRID_STEPS).alias(f"grid{at}"),
+        ]
+    measured = located.groupBy(*groups).agg(*measures)
+
+    def narrowed(slot: Column) -> Column:
+        out = slot
+        for at, name in enumerate(names):
+            lower, upper = bracket(
+                F.col(f"grid{at}"), slot["rank"] - F.col(f"below{at}"), F.col(f"inside{at}")
+            )
+            closer = F.struct(
+                slot["slot"].alias("slot"),
+                slot["rank"].alias("rank"),
+                F.coalesce(lower, slot["from"]).alias("from"),
+                F.coalesce(upper, slot["to"]).alias("to"),
+            )
+            out = F.when((slot["slot"] == name) & F.col(f"grid{at}").isNotNull(), closer).otherwise(out)
+        return out
+
+    return measured.select(
         *(F.col(g).alias(f"_{g}") for g in groups),
-        F.struct(*(i.alias(f"r{at}") for at, i in enumerate(intervals))).alias("near"),
+        "n",
+        F.transform("near", narrowed).cast(f"array<{_SLOT}>").alias("near"),
     )
 
 
-def _count_around_ranks(
-    df: DataFrame, value: str, groups: list[str], brackets: DataFrame
-) -> DataFrame:
+def count_around(df: DataFrame, value: str, groups: list[str], state: DataFrame | list) -> DataFrame:
     """Counts per value inside the brackets and one count for each gap between.
 
     Each cell covers ``low`` .. ``high`` and cells do not overlap.
     """
-    if groups:
-        same = reduce(
-            Column.__and__, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)
-        )
-        # The caller has checked the number of groups.
-        located = df.join(F.broadcast(brackets), same)
-    else:
-        located = df.withColumn("near", brackets.scalar())
-
-    v = F.col(value)
-    near = [F.col("near")[f.name] for f in brackets.schema["near"].dataType]
-    inside = reduce(
-        Column.__or__,
-        (
-            b.isNotNull()
-            & F.coalesce(v.cast("double") >= b["from"], F.lit(True))
-            & F.coalesce(v.cast("double") <= b["to"], F.lit(True))
-            for b in near
-        ),
-    )
-    passed = reduce(
-        Column.__add__,
-        (F.coalesce((v.cast("double") > b["to"]).cast("int"), F.lit(0)) for b in near),
+    v = ordinal(F.col(value), df.schema[value].dataType)
+    located = _with_brackets(df, groups, state).withColumn("_v", v)
+    inside = F.exists(
+        "near",
+        lambda s: F.coalesce(F.col("_v") >= s["from"], F.lit(True))
+        & F.coalesce(F.col("_v") <= s["to"], F.lit(True)),
     )
-    return (
-        located.groupBy(
-            *groups,
-            F.when(v.isNull(), -1).otherwise(passed).alias("gap"),
-            F.when(inside, v).alias("kept"),
-        )
-        .agg(F.count(F.lit(1)).alias("ties"), F.min(v).alias("low"), F.max(v).alias("high"))
-        .select(*groups, "low", "high", "ties")
+    passed = F.size(F.filter("near", lambda s: F.coalesce(F.col("_v") > s["to"], F.lit(False))))
+    return located.groupBy(
+        *groups,
+        F.when(F.col("_v").isNull(), -1).otherwise(passed).alias("gap"),
+        F.when(inside & F.col("_v").isNotNull(), F.col(value)).alias("kept"),
+    ).agg(
+        F.count(F.lit(1)).alias("ties"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.first("near").alias("near"),
     )
 
 
-def _rank_in_place(cells: DataFrame, groups: list[str]) -> DataFrame:
-    so_far = (
-        Window.partitionBy(*groups)
-        .orderBy("low")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return cells.withColumns(
-        {
-            "before": F.sum("ties").over(so_far) - F.col("ties"),
-            "n": F.sum("ties").over(Window.partitionBy(*groups)),
-        }
+def _count_out(
+    df: DataFrame, value: str, groups: list[str], state: DataFrame | list
+) -> DataFrame:
+    """Walk each group's few cells in order and keep those that hold a wanted rank."""
+    kind = df.schema[value].dataType.simpleString()
+    cells = count_around(df, value, groups, state)
+    walked = cells.groupBy(*groups).agg(
+        F.array_sort(F.collect_list(F.struct("low", "high", "ties"))).alias("cells"),
+        F.first("near").alias("near"),
     )
+    found = f"array<struct<slot:string,rank:bigint,value:{kind},exact:boolean,before:bigint,ties:bigint>>"
 
+    def step(state: Column, cell: Column) -> Column:
+        held = F.filter(
+            "near", lambda s: (s["rank"] > state["so_far"]) & (s["rank"] <= state["so_far"] + cell["ties"])
+        )
+        hits = F.transform(
+            held,
+            lambda s: F.struct(
+                s["slot"].alias("slot"),
+                s["rank"].alias("rank"),
+                cell["low"].alias("value"),
+                cell["low"].eqNullSafe(cell["high"]).alias("exact"),
+                state["so_far"].alias("before"),
+                cell["ties"].alias("ties"),
+            ),
+        )
+        return F.struct(
+            (state["so_far"] + cell["ties"]).alias("so_far"),
+            F.concat(state["found"], hits).cast(found).alias("found"),
+        )
 
-def _search_ranges(cells: DataFrame, groups: list[str], ranks: Ranks) -> DataFrame:
-    """Rank cells range by range; only ranges that hold a wanted rank are looked into.
-
-    Cells are unique, so ranges come out even and a large group spans many.
-    """
-    cells = stored(
-        cells.repartitionByRange(*groups, "low").withColumn("part", F.spark_partition_id()),
-        "cells",
-    )
-    parts = cells.groupBy(*groups, "part").agg(F.sum("ties").alias("rows"))
-    so_far = (
-        Window.partitionBy(*groups)
-        .orderBy("part")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.struct(F.lit(0).cast("bigint").alias("so_far"), F.array().cast(found).alias("found"))
+    return walked.select(
+        *groups, F.inline(F.aggregate("cells", start, step, lambda s: s["found"]))
     )
-    parts = parts.withColumns(
-        {
-            "start": F.sum("rows").over(so_far) - F.col("rows"),
-            "n": F.sum("rows").over(Window.partitionBy(*groups)),
-        }
-    )
-    hit = parts.filter(
-        F.exists(_slots(ranks), _covered("start", "rows"))
-    ).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"), "start", "n")
-
-    same_part = reduce(
-        Column.__and__,
-        (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups),
-        F.col("part") == F.col("_part"),
-    )
-    inside = (
-        Window.partitionBy(*groups, "part")
-        .orderBy("low")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = cells.join(hit, same_part).withColumn(
-        "before", F.col("start") + F.sum("ties").over(inside) - F.col("ties")
-    )
-    return _pick(ranked, groups, ranks)
 
 
-def _slots(ranks: Ranks) -> Column:
-    return F.array(
+def range_cuts(df: DataFrame, key: str, tie_break: str, parts: int) -> list[tuple[float, float | None]]:
+    """Cuts of (key, tie-break) order into about ``parts`` even ranges, as ordinals.
+
+    A key that holds several ranges' worth of rows is cut by its tie-break. Runs one job,
+    and another if there is such a key; collects no more than ``parts`` rows and makes at most
+    one cut more for each such key.
+    """
+    k = ordinal(F.col(key), df.schema[key].dataType)
+    grid = df.agg(quantile_grid(k, parts)).first()[0] or []
+    inner = sorted(grid)[1:-1]
+    cuts: list[tuple[float, float | None]] = []
+    times = {x: inner.count(x) for x in dict.fromkeys(inner)}
+    hot = [x for x, n in times.items() if n > 1]
+    ties = {}
+    if hot:
+        t = ordinal(F.col(tie_break), df.schema[tie_break].dataType)
+        rows = df.filter(k.isin(hot)).groupBy(k.alias("k")).agg(quantile_grid(t, parts).alias("g"))
+        ties = {r["k"]: sorted(r["g"] or []) for r in rows.collect()}
+    for x, n in times.items():
+        if n == 1 or not ties.get(x):
+            cuts.append((x, None))
+        else:
+            own = ties[x]
+            cuts += [(x, own[(len(own) - 1) * i // (n + 1)]) for i in range(1, n + 1)]
+            cuts.append((x, None))
+    return sorted(set(cuts), key=lambda c: (c[0], c[1] is None, c[1] or 0.0))
+
+
+def range_number(df: DataFrame, key: str, tie_break: str, cuts: list[tuple[float, float | None]]) -> Column:
+    """How many cuts lie before a row; never decreases in (key, tie-break) order, NULLs first."""
+    if not cuts:
+        return F.lit(0)
+    k = ordinal(F.col(key), df.schema[key].dataType)
+    t = ordinal(F.col(tie_break), df.schema[tie_break].dataType)
+    bounds = F.array(
         *(
-            F.struct(F.lit(slot).alias("slot"), rank.cast("bigint").alias("rank"))
-            for slot, rank in ranks.items()
+            F.struct(F.lit(a).alias("k"), F.lit(b).cast("double").alias("t"))
+            for a, b in cuts
         )
     )
-
-
-def _covered(first: str, count: str) -> Callable[[Column], Column]:
-    """Whether a slot's rank lies among the ``count`` rows after ``first``."""
-    return lambda slot: (slot["rank"] > F.col(first)) & (
-        slot["rank"] <= F.col(first) + F.col(count)
-    )
-
-
-def _pick(ranked: DataFrame, groups: list[str], ranks: Ranks) -> DataFrame:
-    """Cells with ``before`` and ``n`` to one row per slot found in them."""
-    held = F.filter(_slots(ranks), _covered("before", "ties"))
-    return ranked.select(
-        *groups,
-        F.col("low").alias("value"),
-        F.col("low").eqNullSafe(F.col("high")).alias("exact"),
-        "before",
-        "ties",
-        F.inline(held),
+    # a cut without a tie-break comes after every row of its key
+    before = F.filter(
+        bounds,
+        lambda b: F.coalesce((k > b["k"]) | ((k == b["k"]) & (t > b["t"])), F.lit(False)),
     )
+    return F.size(before)
 
 
 def group_quantiles(
@@ -252,7 +367,8 @@ def group_quantiles(
 
     Fractions are decimal text, so ranks such as ``ceil(30 * 0.1)`` are exact.
     The two rank rules are named in ``RANK_RULES``; they differ at 0.75 for some
-    group sizes. NULLs take part and rank first. An empty input gives no rows.
+    group sizes. NULLs take part and rank first. An empty input gives no rows. The ranks
+    are located when this is called; see ``locate_ranks``.
     """
     rank = RANK_RULES[rule]
     found = locate_ranks(
@@ -261,12 +377,13 @@ def group_quantiles(
         lambda n: {name: rank(n, Decimal(p)) for name, p in fractions.items()},
         group_by,
     )
+    if isinstance(found, list):
+        kind = df.schema[value].dataType
+        schema = T.StructType([T.StructField(name, kind) for name in fractions])
+        held = {r["slot"]: r["value"] for r in found}
+        rows = [tuple(held.get(name) for name in fractions)] if found else []
+        return df.sparkSession.createDataFrame(rows, schema)
     columns = [
         F.max(F.when(F.col("slot") == name, F.col("value"))).alias(name) for name in fractions
     ]
-    return (
-        found.groupBy(*group_by)
-        .agg(F.count(F.lit(1)).alias("_found"), *columns)
-        .filter("_found > 0")
-        .drop("_found")
-    )
+    return found.groupBy(*group_by).agg(*columns)

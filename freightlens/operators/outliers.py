@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.functions import round_half_up
+from freightlens.functions import mean, round_half_up
 from freightlens.operators.order_stats import group_quantiles
 
 
@@ -58,7 +58,7 @@ def excursion_association(
     keys = [excursion, *flags]
     return (
         marked.groupBy(*keys)
-        .agg(round_half_up(F.avg("_outcome"), digits).alias(names))
+        .agg(round_half_up(mean("_outcome"), digits).alias(names))
         .orderBy(*(F.desc(key) for key in keys))
     )
 
@@ -74,7 +74,7 @@ def value_summary(
     quartiles = group_quantiles(df, value, dict(zip(names, ("0.25", "0.50", "0.75"))), "floor")
     moments = df.agg(
         F.struct(
-            round_half_up(F.avg(value), digits).alias("mean"),
+            round_half_up(mean(value), digits).alias("mean"),
             round_half_up(F.stddev_pop(value), digits).alias("std"),
         )
     ).scalar()

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.functions import round_half_up, share
+from freightlens.functions import mean, round_half_up, share
 
 
 def group_profile(
@@ -46,12 +46,12 @@ def cross_profile(
     cells = df.groupBy(few_key.alias(few_name), other_key.alias(other_name)).agg(
         F.sum(value).alias("total"), F.count(value).alias("n")
     )
-    mean = round_half_up(F.try_divide(F.sum("total"), F.sum("n")), digits)
-    few_means = cells.groupBy(few_name).agg(mean.alias(few_mean))
+    average = round_half_up(F.try_divide(F.sum("total"), F.sum("n")), digits)
+    few_means = cells.groupBy(few_name).agg(average.alias(few_mean))
     beside = few_means.agg(F.collect_list(F.struct(few_name, few_mean)))
     return (
         cells.groupBy(other_name)
-        .agg(mean.alias(other_mean))
+        .agg(average.alias(other_mean))
         .select(other_name, other_mean, F.inline(beside.scalar()))
         .select(few_name, few_mean, other_name, other_mean)
     )
@@ -114,11 +114,11 @@ def mean_of_period_means(
     ``measures`` maps an output name to its source column and rounding.
     """
     per_period = df.groupBy(period.alias("_period"), key).agg(
-        *(F.avg(source).alias(name) for name, (source, _) in measures.items())
+        *(mean(source).alias(name) for name, (source, _) in measures.items())
     )
     return per_period.groupBy(key).agg(
         *(
-            round_half_up(F.avg(name), digits).alias(name)
+            round_half_up(mean(name), digits).alias(name)
             for name, (_, digits) in measures.items()
         )
     )

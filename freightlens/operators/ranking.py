@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightlens.functions import mean as average
 from freightlens.functions import round_half_up
 from freightlens.sources.scratch import stored
 
@@ -35,9 +36,10 @@ def capacity_windows(
     """Cut each group, largest value first, into windows of ``capacity`` rows and profile them.
 
     Rows are sorted by ranges of (group, value, tie_break), so a large group
-    covers many tasks. The row position inside a range plus the number of rows
-    in earlier ranges is the position in the whole order; less the position of
-    the group's first row it numbers the rows of the group.
+    covers many tasks. A row's number in its group is its place among the group's
+    rows in its range, plus the group's rows in earlier ranges. Those come from one
+    row per range and group, so detail meets them by (range, group) and a large
+    group is never gathered. Stores the sorted rows when called.
     """
     order = [*(F.asc(g) for g in groups), F.desc(value), F.asc(tie_break)]
     rows = stored(
@@ -56,27 +58,26 @@ def capacity_windows(
         "ordered-rows",
     )
 
-    # One row per range partition, so always small enough to broadcast.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
-    )
-    placed = rows.join(F.broadcast(starts), "part").withColumn(
-        "position", F.col("start") + F.col("offset")
+    own = [f"_{g}" for g in groups]
+    earlier = (
+        Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    first = placed.groupBy(*(F.col(g).alias(f"_{g}") for g in groups)).agg(
-        F.min("position").alias("first")
+    # one row per range and group: a range's rows of a group follow each other
+    starts = (
+        rows.groupBy(*(F.col(g).alias(f"_{g}") for g in groups), F.col("part").alias("_part"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("offset").alias("first"))
+        .withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .drop("rows")
     )
-    same_group = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-    number = F.floor((F.col("position") - F.col("first")) / capacity) + 1
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    place = F.col("before") + F.col("offset") - F.col("first")
+    number = F.floor(place / capacity) + 1
     return (
-        placed.join(first, same_group)
+        rows.join(starts, [*same, F.col("part") == F.col("_part")])
         .groupBy(*groups, number.alias(window))
         .agg(
             F.count(F.lit(1)).alias(count),
-            round_half_up(F.avg(value), digits).alias(mean),
+            round_half_up(average(value), digits).alias(mean),
         )
         .orderBy(*groups, window)
     )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from freightlens.functions import (
     day,
     hour_of_day,
+    mean,
     round_half_up,
-    rounded,
     share,
     weekday_from_zero,
     whole_hours,
@@ -53,10 +53,6 @@ RISK_CUTS, RISK_BUCKETS = (3, 6, 8), ("Low", "Moderate", "High", "Severe")
 HOUR_CUTS, DAY_PARTS = (6, 12, 18), ("Night", "Morning", "Afternoon", "Evening")
 QUARTERS = {"p25": "0.25", "p50": "0.50", "p75": "0.75"}
 
-# Decimals kept for columns that are reported as computed, so that the last bits
-# of a differently ordered sum do not show.
-UNROUNDED = 6
-
 
 def _high_risk(threshold: float) -> Column:
     return F.col("route_risk_level") >= threshold
@@ -66,7 +62,7 @@ def fuel_by_risk(shipments: DataFrame) -> DataFrame:
     return group_profile(
         shipments,
         {"risk_classification": F.col("risk_classification")},
-        {"avg_fuel_rate": F.avg("fuel_consumption_rate")},
+        {"avg_fuel_rate": mean("fuel_consumption_rate")},
         {"avg_fuel_rate": 4},
     ).orderBy(F.desc("avg_fuel_rate"))
 
@@ -109,8 +105,8 @@ def equipment_versus_delay(shipments: DataFrame) -> DataFrame:
         shipments,
         {"equipment_available": F.col("handling_equipment_availability")},
         {
-            "avg_delivery_delay_hrs": F.avg("delivery_time_deviation"),
-            "avg_loading_time_hrs": F.avg("loading_unloading_time"),
+            "avg_delivery_delay_hrs": mean("delivery_time_deviation"),
+            "avg_loading_time_hrs": mean("loading_unloading_time"),
             "record_count": F.count(F.lit(1)),
         },
         {"avg_delivery_delay_hrs": 2, "avg_loading_time_hrs": 2},
@@ -161,8 +157,8 @@ def delay_by_port_and_customs(shipments: DataFrame) -> DataFrame:
             ),
         },
         {
-            "avg_deviation_hrs": F.avg("delivery_time_deviation"),
-            "avg_delay_prob": F.avg("delay_probability"),
+            "avg_deviation_hrs": mean("delivery_time_deviation"),
+            "avg_delay_prob": mean("delay_probability"),
         },
         {"avg_deviation_hrs": 2, "avg_delay_prob": 4},
     ).orderBy(
@@ -179,8 +175,8 @@ def supplier_deciles(shipments: DataFrame, tiles: int = 10, top: int = 10) -> Da
             tiled,
             {"supplier_decile": F.col("supplier_decile")},
             {
-                "avg_lead_time_days": F.avg("lead_time_days"),
-                "avg_reliability_score": F.avg("supplier_reliability_score"),
+                "avg_lead_time_days": mean("lead_time_days"),
+                "avg_reliability_score": mean("supplier_reliability_score"),
                 "shipment_count": F.count(F.lit(1)),
             },
             {"avg_lead_time_days": 2, "avg_reliability_score": 4},
@@ -199,8 +195,8 @@ def conditions_by_risk(shipments: DataFrame, threshold: float = HIGH_RISK) -> Da
         shipments,
         {"risk_group": F.when(_high_risk(threshold), "High").otherwise("Low")},
         {
-            "avg_traffic_congestion": F.avg("traffic_congestion_level"),
-            "avg_weather_severity": F.avg("weather_condition_severity"),
+            "avg_traffic_congestion": mean("traffic_congestion_level"),
+            "avg_weather_severity": mean("weather_condition_severity"),
             "record_count": F.count(F.lit(1)),
         },
         {"avg_traffic_congestion": 2, "avg_weather_severity": 2},
@@ -245,7 +241,7 @@ def lagged_features(shipments: DataFrame, late_hours: float = 1) -> DataFrame:
     }
     columns = [c for lag, source in lags.items() for c in (source, lag)] + ["delay_flag"]
     featured = lag_features(daily, "route_risk_level", "dt", lags)
-    return rounded(featured, UNROUNDED, *columns).select("dt", "route_risk_level", *columns)
+    return featured.select("dt", "route_risk_level", *columns)
 
 
 def predictor_ranking(shipments: DataFrame) -> DataFrame:
@@ -255,8 +251,7 @@ def predictor_ranking(shipments: DataFrame) -> DataFrame:
         "eta_variation_hours",
         "route_risk_level",
     ]
-    ranked = pearson_ranked(shipments, features, "delivery_time_deviation")
-    return rounded(ranked, UNROUNDED, "corr_value")
+    return pearson_ranked(shipments, features, "delivery_time_deviation")
 
 
 def top_routes(shipments: DataFrame, k: int = 5) -> DataFrame:
@@ -265,7 +260,7 @@ def top_routes(shipments: DataFrame, k: int = 5) -> DataFrame:
         F.avg("delivery_time_deviation").alias("avg_delay"),
     )
     best = top_ranked(routes, ["avg_delay", "avg_fuel"], k, "route_rank")
-    return rounded(best, UNROUNDED, "avg_fuel", "avg_delay").drop("route_rank")
+    return best.drop("route_rank")
 
 
 def unloading_windows(shipments: DataFrame, capacity: int = 10, tiles: int = 5) -> DataFrame:
@@ -309,8 +304,8 @@ def driver_quartiles(
         tiled,
         {"driver_bin": F.col("driver_bin")},
         {
-            "avg_fuel_rate": F.avg("fuel_consumption_rate"),
-            "avg_eta_variation": F.avg("eta_variation_hours"),
+            "avg_fuel_rate": mean("fuel_consumption_rate"),
+            "avg_eta_variation": mean("eta_variation_hours"),
             "incident_rate": share(incident),
         },
         {"avg_fuel_rate": 3, "avg_eta_variation": 3, "incident_rate": 3},
@@ -376,7 +371,7 @@ def lagged_equipment_correlation(shipments: DataFrame) -> DataFrame:
 
 
 def data_quality(shipments: DataFrame) -> DataFrame:
-    report = quality_profile(
+    return quality_profile(
         shipments,
         {
             "warehouse_inventory_level": ("pct_null_inventory", "inv_variability"),
@@ -384,9 +379,6 @@ def data_quality(shipments: DataFrame) -> DataFrame:
             "supplier_reliability_score": ("pct_null_supplier_rel", "sup_rel_variability"),
         },
     )
-    return rounded(
-        report, UNROUNDED, "pct_null_inventory", "pct_null_equipment", "pct_null_supplier_rel"
-    )
 
 
 def risk_by_time_of_day(shipments: DataFrame) -> DataFrame:
@@ -397,8 +389,8 @@ def risk_by_time_of_day(shipments: DataFrame) -> DataFrame:
             "time_of_day": bin_column(hour_of_day("timestamp"), HOUR_CUTS, DAY_PARTS),
         },
         {
-            "avg_delay_prob": F.avg("delay_probability"),
-            "avg_disruption_prob": F.avg("disruption_likelihood_score"),
+            "avg_delay_prob": mean("delay_probability"),
+            "avg_disruption_prob": mean("disruption_likelihood_score"),
         },
         {"avg_delay_prob": 4, "avg_disruption_prob": 4},
     ).orderBy("risk_bucket", "time_of_day")

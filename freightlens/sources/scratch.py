@@ -1,49 +1,61 @@
 """Intermediate tables in the cluster's shared checkpoint folder.
 
 A stored table cuts lineage: a lost executor re-reads files instead of
-recomputing joins, and range partitions that were cut from a sample stay fixed.
+recomputing joins, and partitions that were cut from a sample stay fixed.
 Parquet keeps later reads columnar and pruned, which an RDD checkpoint does not.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_TO_CLEAR: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables.
 
-    The session's checkpoint folder is used as it is. Only local mode may go
-    without one; a cluster must name a folder every executor can reach.
+    The session's checkpoint folder, or, where none is named, one in the warehouse,
+    which executors share as well. A cluster's folder must not be a machine's own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        app = context.applicationId
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="freightlens-")
-        named = _LOCAL_ROOTS[app]
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/freightlens-scratch"
+    if named.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{named.rstrip('/')}/freightlens/{context.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the scratch folder and return it read back."""
+    """Write a DataFrame to the scratch folder and return it read back.
+
+    The files stay until ``clear_stored``, or until the driver's process ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    root = scratch_root(spark)
+    if root not in _TO_CLEAR:
+        _TO_CLEAR.add(root)
+        atexit.register(_delete, root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables, once their results are consumed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(path, True)
+    """Delete this application's intermediate tables, once their results are consumed.
+
+    Needs a session in the driver's own process, as Spark Connect has no file access.
+    """
+    _delete(scratch_root(spark))
+
+
+def _delete(root: str) -> None:
+    jvm = SparkContext._jvm  # also there after the session has been stopped
+    if jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)

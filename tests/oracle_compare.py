@@ -15,6 +15,7 @@ TYPES = {
     "INTEGER": "int",
     "DOUBLE": "double",
     "VARCHAR": "string",
+    "BOOLEAN": "boolean",
     "DATE": "date",
     "TIMESTAMP": "timestamp_ntz",
 }
@@ -29,9 +30,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def compare(spark, con, name: str, sf_dir: str) -> list[str]:
+    """Differences of an analysis from its statement; empty when equal."""
+    return differences(run(name, spark, sf_dir), con.sql(ORACLE[name]))
+
+
+def differences(got, want) -> list[str]:
     """Differences in columns, types and rows; empty when equal."""
-    got = run(name, spark, sf_dir)
-    want = con.sql(ORACLE[name])
     problems = []
     got_types = dict(got.dtypes)
     want_types = {c: TYPES.get(str(t), str(t)) for c, t in zip(want.columns, want.types)}

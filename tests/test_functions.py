@@ -68,6 +68,32 @@ def test_pearson_variants_agree_without_nulls(spark):
     assert -1 <= got["pairwise"] <= 1
 
 
+@pytest.mark.parametrize("value", [0.1, 1 / 3, 1000000000.1])
+def test_pearson_of_a_constant_column_is_null(spark, value):
+    """Whatever the computed deviation of the constant is over several partitions."""
+    df = spark.range(1000, numPartitions=7).select(
+        F.lit(value).alias("x"), (F.col("id") * 0.7).alias("y")
+    )
+    for pair in (("x", "y"), ("y", "x")):
+        got = df.agg(*(r(*map(F.col, pair)).alias(n) for n, r in _R.items())).first()
+        assert list(got) == [None, None, None]
+
+
+def test_rounding_happens_once(spark):
+    """In Spark and in the statements it is checked against."""
+    import duckdb
+
+    from freightlens.oracle.duckdb_sql import r
+
+    for value, want in [
+        (0.12344999999999999, 0.1234), (0.12344999996, 0.1234), (0.00004999999999999, 0.0),
+        (0.285, 0.285), (1e-7, 0.0), (1e25, 1e25), (-0.00005, -0.0001), (123456.00005, 123456.0001),
+    ]:
+        df = spark.createDataFrame([(value,)], "v double")
+        assert df.select(round_half_up(F.col("v"), 4)).first()[0] == want
+        assert duckdb.sql(f"SELECT {r(f'CAST({value!r} AS DOUBLE)', 4)}").fetchone()[0] == want
+
+
 @pytest.mark.parametrize(
     "rows",
     [[(1.0, 2.0), (1.0, 5.0)], [(1.0, 2.0)], [(1.0, None), (None, 2.0)], []],

@@ -6,7 +6,9 @@ import pytest
 
 from freightlens.oracle import ORACLE
 from freightlens.plans import ANALYSES
-from oracle_compare import compare, duck
+from freightlens.plans.analyses import unloading_windows
+from freightlens.sources import load_shipments
+from oracle_compare import compare, differences, duck
 
 TESTDATA = "/root/testdata"
 
@@ -27,13 +29,27 @@ def test_matches_oracle(spark, scale, name):
     assert compare(spark, con, name, sf_dir) == []
 
 
-@pytest.mark.parametrize(
-    "name", ["q07_deviation_quantiles", "q10_supplier_deciles", "q13_temperature_summary"]
-)
-def test_large_table_path_matches_oracle(spark, monkeypatch, name):
-    """The way taken beyond the in-place size, on tables that would not need it."""
+RANKED = [
+    "q07_deviation_quantiles", "q08_loading_outliers", "q10_supplier_deciles",
+    "q13_temperature_summary", "q17b_unload_windows", "q19_driver_quartiles",
+    "q21a_warehouse_quartiles", "q21b_supplier_lead_time",
+]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_narrowed_brackets_match_oracle(spark, monkeypatch, name):
+    """Several rounds of sketches, as on tables that are millions of times larger."""
     from freightlens.operators import order_stats
 
-    monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
+    monkeypatch.setattr(order_stats, "CELLS", 4)
     sf_dir = f"{TESTDATA}/sf0.01"
     assert compare(spark, duck(sf_dir), name, sf_dir) == []
+
+
+def test_several_windows_in_a_group_match_oracle(spark):
+    """Windows of three rows, so that unloading windows are numbered beyond one."""
+    sf_dir = f"{TESTDATA}/sf0.1"
+    statement = ORACLE["q17b_unload_windows"].replace("(place + 9) // 10", "(place + 2) // 3")
+    report = unloading_windows(load_shipments(spark, sf_dir), capacity=3)
+    assert differences(report, duck(sf_dir).sql(statement)) == []
+    assert report.agg({"unload_window": "max"}).first()[0] > 2

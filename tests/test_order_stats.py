@@ -1,4 +1,4 @@
-"""Quantiles and NTILE against plain Python, on both the small and the large path."""
+"""Quantiles and NTILE against plain Python, with one and with several rounds of sketches."""
 
 from __future__ import annotations
 
@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 from freightlens.operators import exact_ntile, group_quantiles, order_stats
 
 
-@pytest.fixture(params=["in place", "sketch and ranges", "ranges only"])
+@pytest.fixture(params=["one round", "several rounds", "stored", "coarse sketch"])
 def path(request, monkeypatch):
-    """Every way a rank can be located."""
-    if request.param != "in place":
-        monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
-    if request.param == "ranges only":
-        monkeypatch.setattr(order_stats, "SKETCHED_GROUPS", -1)
+    """As usual; narrowing on and on; groups that are too many to collect; missed ranks."""
+    if request.param == "several rounds":
+        monkeypatch.setattr(order_stats, "CELLS", 2)
+    if request.param == "stored":
+        whole = order_stats.locate_ranks
+
+        def located(df, value, wanted, group_by=(), few=False):
+            if not group_by:
+                df, group_by = df.withColumn("_all", F.lit(1)), ["_all"]
+            found = whole(df, value, wanted, group_by)
+            return found.collect() if few or list(group_by) == ["_all"] else found
+
+        monkeypatch.setattr(order_stats, "locate_ranks", located)
+    if request.param == "coarse sketch":
+        monkeypatch.setattr(order_stats, "SKETCH_SIZE", 8)
+        monkeypatch.setattr(order_stats, "GRID_MARGIN", 0)
     return request.param
 
 
@@ -73,18 +84,27 @@ def test_empty_input_has_no_quantiles(spark, path):
     assert group_quantiles(df, "x", FRACTIONS, "ceil").collect() == []
 
 
-def test_a_missed_sketch_is_repeated_exactly(spark, monkeypatch):
-    """Even when every value collapses into one gap, the answer is exact."""
-    monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", -1)
+def test_a_missed_rank_is_looked_for_again(spark, monkeypatch):
+    """Brackets that miss every rank are widened until the answer is exact."""
+    margins = []
+    whole = order_stats._narrowed
 
-    def one_gap(df, value, groups, brackets):
-        return df.groupBy(*groups).agg(
-            F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("ties")
-        )
+    def off(df, value, groups, wanted, margin, few):
+        margins.append(margin)
+        if margin == order_stats.GRID_MARGIN:
+            return whole(df, value, groups, lambda n: {"a": F.lit(1)}, margin, few)
+        return whole(df, value, groups, wanted, margin, few)
 
-    monkeypatch.setattr(order_stats, "_count_around_ranks", one_gap)
+    def wrong(df, value, groups, state):
+        rows = counted(df, value, groups, state)
+        return rows.withColumn("exact", F.lit(False)) if len(margins) == 1 else rows
+
+    counted = order_stats._count_out
+    monkeypatch.setattr(order_stats, "_narrowed", off)
+    monkeypatch.setattr(order_stats, "_count_out", wrong)
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))
     assert tuple(group_quantiles(df, "x", FRACTIONS, "ceil").first()) == (10.0, 25.0, 50.0, 75.0)
+    assert margins == [order_stats.GRID_MARGIN, 8 * order_stats.GRID_MARGIN + 1]
 
 
 @pytest.mark.parametrize("missing", [0.0, 0.3])
@@ -92,17 +112,36 @@ def test_sketch_brackets_the_ranks(spark, missing):
     """Away from the ranks values collapse; at the ranks they stay exact."""
     x = F.when(F.rand(8) >= missing, F.rand(5))
     df = spark.range(100_000).select((F.col("id") % 2).alias("g"), x.alias("x")).persist()
-    ranks = {p: F.ceil(F.col("n") * float(p)) for p in FRACTIONS.values()}
+
+    def ranks(n):
+        return {p: F.ceil(n * float(p)) for p in FRACTIONS.values()}
+
     for groups in ([], ["g"]):
-        brackets = order_stats._rank_brackets(df, "x", groups, ranks)
-        cells = order_stats._count_around_ranks(df, "x", groups, brackets).persist()
+        state = order_stats._narrowed(df, "x", groups, ranks, order_stats.GRID_MARGIN, not groups)
+        cells = order_stats.count_around(df, "x", groups, state).persist()
         assert cells.count() < 3000
         assert cells.agg(F.sum("ties")).first()[0] == 100_000
-        found = order_stats._search_ranges(cells, groups, ranks)
+        found = order_stats._count_out(df, "x", groups, state)
         assert found.count() == len(FRACTIONS) * (2 if groups else 1)
         assert found.filter(~F.col("exact")).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "kind, make",
+    [
+        ("string", lambda k: F.concat(F.lit("é"), F.lpad(k.cast("string"), 9, "0"))),
+        ("date", lambda k: F.date_add(F.lit("1950-01-01").cast("date"), k.cast("int"))),
+        ("timestamp_ntz", lambda k: F.make_timestamp_ntz(F.lit(1960), F.lit(1), F.lit(1), F.lit(0), F.lit(0), k / 20)),
+        ("decimal(20,3)", lambda k: (k - 500).cast("decimal(20,3)")),
+    ],
+)
+def test_other_types_rank_too(spark, path, kind, make):
+    df = spark.range(1000).select(make(F.col("id")).cast(kind).alias("x"), F.col("id").alias("k"))
+    got = group_quantiles(df, "x", FRACTIONS, "ceil").first()
+    want = {r["k"]: r["x"] for r in df.collect()}
+    assert tuple(got) == tuple(want[k] for k in (99, 249, 499, 749))
+
+
 NTILE_CASES = {
     "fewer rows than tiles": (7, 10, lambda rng: float(rng.randrange(5))),
     "uneven": (1003, 5, lambda rng: rng.random()),
@@ -116,8 +155,6 @@ NTILE_CASES = {
 
 @pytest.mark.parametrize("case", NTILE_CASES)
 def test_ntile_equals_window(spark, path, case):
-    if path == "ranges only" and case not in ("null keys", "hot key"):
-        pytest.skip("differs from the sketched path only in how ranks are found")
     n, tiles, make = NTILE_CASES[case]
     rng = random.Random(11)
     rows = [(i, make(rng)) for i in rng.sample(range(10 * n), n)]
@@ -136,7 +173,7 @@ def test_ntile_of_nothing(spark, path):
     assert exact_ntile(df, "tile", 4, "k", "id").collect() == []
 
 
-def test_ntile_does_not_depend_on_partitioning(spark):
+def test_ntile_does_not_depend_on_partitioning(spark, path):
     df = spark.range(2000).select("id", (F.col("id") % 13).cast("double").alias("k"))
     one = exact_ntile(df.repartition(1), "tile", 7, "k", "id")
     many = exact_ntile(df.repartition(9, "k"), "tile", 7, "k", "id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freightlens.operators import exact_ntile, order_stats, top_ranked
+from freightlens.operators import capacity_windows, exact_ntile, order_stats, top_ranked
 from freightlens.plans import ANALYSES, run
-from freightlens.plans.catalog import READ_AGAIN
+from freightlens.plans.catalog import COMPARED_COLUMNS, READ_AGAIN
 from freightlens.sources import load_shipments, stored
 
 SF = "/root/testdata/sf0.001"
@@ -31,8 +32,7 @@ def test_scans_read_only_needed_columns(spark):
     schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))
     assert schemas == {
         "event_id:bigint",
-        "o_orderkey:bigint,o_custkey:bigint,o_orderpriority:string",
-        "c_custkey:bigint",
+        "o_orderkey:bigint,o_orderpriority:string",
         "l_orderkey:bigint,l_quantity:double",
     }
 
@@ -62,14 +62,68 @@ def test_outliers_use_top_k(spark):
     assert "TakeOrderedAndProject" in plan(run("q08_loading_outliers", spark, SF))
 
 
-@pytest.mark.parametrize("limit", [-1, 1_000_000])
-def test_tiles_are_assigned_without_moving_the_table(spark, monkeypatch, limit):
-    monkeypatch.setattr(order_stats, "IN_PLACE_ROWS", limit)
+def test_tiles_are_assigned_without_moving_the_table(spark):
     rows = stored(load_shipments(spark, SF).select("shipment_id", "warehouse_inventory_level"), "t")
     text = plan(exact_ntile(rows, "tile", 5, "warehouse_inventory_level", "shipment_id"))
     assert "Exchange" not in text and "Window" not in text
 
 
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_ranks_are_located_without_windows(spark, groups):
+    """Neither rows nor values of the input are ever numbered by a window."""
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    state = order_stats._narrowed(rows, "v", groups, lambda n: {"a": F.ceil(n / 2)}, 2, not groups)
+    text = plan(order_stats._count_out(rows, "v", groups, state))
+    assert "Window" not in text and "rangepartitioning" not in text
+
+
+def test_windows_meet_detail_by_range_and_group(spark):
+    """A group that holds most rows is joined range by range."""
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(-1).alias("g"), F.rand(1).alias("v")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(capacity_windows(rows, ["g"], "v", "id", 10, "w", "n", "m"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", text)
+    assert joins and all("part" in keys for keys in joins)
+
+
+def test_state_changes_shuffle_the_detail_once(spark):
+    """Also where one moment holds most rows, which is cut by the tie-break."""
+    moment = F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    later = F.timestamp_add("MINUTE", F.col("id").cast("int"), moment)
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, later).otherwise(moment).alias("t"), "id", (F.col("id") % 2).alias("s")
+    )
+    series = rows.select(F.col("t").alias("at"), F.col("id").alias("tie"))
+    cuts = order_stats.range_cuts(series, "at", "tie", 16)
+    number = order_stats.range_number(series, "at", "tie", cuts)
+    sizes = [r["count"] for r in series.groupBy(number.alias("p")).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 4000 / 16 * 2
+    compared = series.withColumn("part", number).withColumn(
+        "before", F.lag("tie").over(Window.partitionBy("part").orderBy("at", "tie"))
+    )
+    text = plan(compared.groupBy("part", "at").agg(F.max("before")))
+    assert text.count("Exchange") == 1 and "rangepartitioning" not in text
+
+
+def test_unused_customers_are_not_read(spark):
+    assert "c_custkey" not in plan(run("q11_pct_high_risk", spark, SF))
+
+
+def test_analyses_report_unrounded_values(spark):
+    """Only the registered query rounds what the report gives as computed."""
+    facts = load_shipments(spark, "/root/testdata/sf0.01")
+    for name, columns in COMPARED_COLUMNS.items():
+        whole = ANALYSES[name](facts).select(*columns).collect()
+        values = [v for row in whole for v in row if v is not None]
+        assert name == "q23_data_quality" or any(v != round(v, 6) for v in values)
+        assert run(name, spark, "/root/testdata/sf0.01").columns == ANALYSES[name](facts).columns
+
+
 def test_stored_columns_are_those_the_analysis_reads(spark):
     """An analysis run on the narrow stored table sees every column it asks for."""
     facts = load_shipments(spark, SF)

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,7 +57,7 @@ def test_stored_tables_live_in_the_checkpoint_folder(spark):
     assert kept.count() == 5
 
 
-def test_a_cluster_must_name_the_folder():
+def _session(conf):
     class Context:
         master = "spark://cluster:7077"
         applicationId = "app"
@@ -62,10 +67,32 @@ def test_a_cluster_must_name_the_folder():
 
     class Session:
         sparkContext = Context()
-        conf = {}
 
+    Session.conf = conf
+    return Session()
+
+
+@pytest.mark.parametrize("key", ["spark.checkpoint.dir", "spark.sql.warehouse.dir"])
+def test_a_cluster_folder_is_shared(key):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_root(Session())
+        scratch_root(_session({key: "file:/tmp/own"}))
+    assert scratch_root(_session({key: "hdfs://n/shared"})).startswith("hdfs://n/shared/")
+
+
+def test_nothing_is_left_after_the_process(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate())
+from freightlens.sources import stored
+import os
+stored(spark.range(3), "n").count()
+assert os.listdir("{tmp_path}/shared/freightlens")
+spark.stop()
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    assert os.listdir(tmp_path / "shared" / "freightlens") == []
 
 
 def test_clear_stored(spark, monkeypatch, tmp_path):
