@@ -14,7 +14,7 @@ each packet meets each block once.
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take
 no part; only vectors of equal length are compared; a query never meets rows of its own
 id; ties go to the smaller id; rows with an equal id and different vectors count each,
-equal rows count once. A query among fewer than k others gets them all.
+equal rows count once. Scores must fit in 64 bits. A query among fewer than k others gets them all.
 """
 
 from __future__ import annotations

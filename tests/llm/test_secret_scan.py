@@ -40,7 +40,7 @@ def test_edge_cases(docs_of):
     extra = defaultdict_list(
         (r[0], [s for s in r[2].split(",") if s and s not in r[1].split(",")]) for r in got
     )
-    assert extra[7] == [["token:36:76"]]
+    assert extra[7] == [["token:33:73"]]
     assert extra[8] == extra[9] == extra[11] == [[]]
     assert extra[10] == [["endpoint:0:28", "token:31:71"]]
     assert extra[13] == [["token:21:61"]] * 2 and extra[None] == [["token:21:61"]]

@@ -40,10 +40,11 @@ def test_equal_vectors_take_the_smaller_ids(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(k, [float(2**23 + k * 4), float(-(2**22)), 1.0]) for k in range(12)]
+    """Scores beyond what a double holds exactly."""
+    rows = [(k, [float(2**24 + k * 4), float(-(2**22)), 1.0]) for k in range(12)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
-    got = sorted(tuple(r) for r in top_k(frame, frame, 3, scale=1 << 20).collect())
-    assert got == sorted(top_scores(rows, lambda q: True, 3, 1 << 20))
+    got = sorted(tuple(r) for r in top_k(frame, frame, 3).collect())
+    assert got == sorted(top_scores(rows, lambda q: True, 3)) and min(r[3] for r in got) > 2**53
 
 
 def test_empty_and_null_ids(spark):
