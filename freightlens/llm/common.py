@@ -41,9 +41,21 @@ _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.u
 
 _SHIPPED: set[str] = set()
 
+#: Rows that a Python worker handles at a time, and bytes of a batch that it is sent.
+SLICE_ROWS = 512
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application.
+
+    Also lowers the session's bound on the bytes of an Arrow batch, as both the executor
+    and the worker hold a batch for each running task.
+    """
+    current = spark.conf.get(_BATCH_SETTING)
+    if current == _DEFAULT_BATCH:  # another setting is the user's choice
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -124,6 +136,13 @@ def byte_arrays(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield data[bounds[k] : bounds[k + 1]] if valid[k] else None
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that what is made from one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fields_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
@@ -146,7 +165,7 @@ def with_computed(
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in new]
-        for batch in batches:
+        for batch in slices(batches):
             made = compute(*(batch.column(c) for c in inputs))
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]

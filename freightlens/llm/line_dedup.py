@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from freightlens.llm.common import fields_of, with_computed, without
+from freightlens.llm.common import fields_of, slices, with_computed, without
 from freightlens.sources import stored
 
 #: A line that more documents hold is not rare.
@@ -57,7 +57,7 @@ def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     made = fields_of(_LINE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, places, codes, numbers, single = [], [], [], [], []
             for k, value in enumerate(batch.column("text")):
                 lines = [

@@ -45,6 +45,7 @@ from freightlens.llm.common import (
     byte_arrays,
     fields_of,
     mixed,
+    slices,
     window_hashes,
     word_bounds,
     word_hashes,
@@ -104,7 +105,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     made = fields_of("class binary, shingles long, signature array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             classes, counts, signatures = [], [], []
             for data in byte_arrays(batch.column("text")):
                 normal, hashes = shingle_hashes(data, size) if data is not None else (b"", ())
@@ -307,7 +308,7 @@ def confirmed_links(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, sets = [], []
             named = zip(batch.column("class").to_pylist(), byte_arrays(batch.column("text")), strict=True)
             for k, (name, data) in enumerate(named):

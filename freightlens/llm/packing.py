@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from freightlens.llm.common import fields_of
+from freightlens.llm.common import fields_of, slices
 from freightlens.llm.tokens import encoder
 from freightlens.sources import stored
 
@@ -41,7 +41,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, path: str, end: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, total = encoder(path), TaskContext.get().partitionId(), 0
         last = np.array([end], own.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             firsts, counts, ids = [], [], []
             for text in batch.column("text"):
                 data = own.encode(text.as_py() or "") + last
@@ -75,7 +75,7 @@ def _cut(
     batches: Iterator[pa.RecordBatch], length: int, width: int
 ) -> Iterator[pa.RecordBatch]:
     kind = f"<u{width}"
-    for batch in batches:
+    for batch in slices(batches):
         rows, columns = [], [[], [], [], [], [], []]
         firsts = batch.column("stream").to_pylist()
         for k, (first, data) in enumerate(zip(firsts, batch.column("ids"), strict=True)):
