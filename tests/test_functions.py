@@ -91,7 +91,7 @@ def test_rounding_happens_once(spark):
     ]:
         df = spark.createDataFrame([(value,)], "v double")
         assert df.select(round_half_up(F.col("v"), 4)).first()[0] == want
-        assert duckdb.sql(f"SELECT {r(f'CAST({value!r} AS DOUBLE)', 4)}").fetchone()[0] == want
+        assert duckdb.sql(f"SELECT {r(f'CAST({value!r} AS DOUBLE)', 4)}").fetchall()[0][0] == want
 
 
 @pytest.mark.parametrize(
