@@ -11,11 +11,14 @@
    without a rare line start with the second step, so frequent lines are treated too.
 4. Aligned lines of a later document that follow each other, over all its pairs, make a
    common block. Blocks of at least ``min_words`` words are deleted from it.
+5. A line with more than ``rare`` holders is deleted from all but its first holder if it
+   has ``frequent_words`` words, whatever its block and wherever it stands.
 
 Defined cases: a null text stays null and is never matched; a null id is never matched;
 rows with equal id and text are one document and get equal results; rows that share an
-id only are ordered by a hash of the text. Short blocks, blank lines and all first
-holders stay as they are. Lines end at a line feed. A text without deletions is
+id only are ordered by a hash of the text (in the number of holders of a line, equal rows
+count one each). Short blocks of lines with few holders, frequent lines under
+``frequent_words`` words, blank lines and all first holders stay as they are. Lines end at a line feed. A text without deletions is
 returned unchanged; if all its lines are deleted, the empty text remains.
 """
 
@@ -39,6 +42,8 @@ from freightlens.sources import stored
 RARE = 16
 #: Words that a common block must have.
 MIN_WORDS = 10
+#: Words that a line must have to be cut alone if it is not rare; one word is often chance.
+FREQUENT_WORDS = 2
 
 _LINE = "pos int, code binary, nth int, once boolean"
 
@@ -143,7 +148,8 @@ def patience_alignment(matches: list[tuple[int, int, int]]) -> list[int]:
 
 
 def aligned_lines(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(id, own, places): the lines of each later document that align with a first holder."""
+    """(id, own, places, frequent): the lines of each later document that align with a first
+    holder, and those that are not rare, aligned or not."""
     holder = F.struct("id", "own")
     first = lines.groupBy("code", "nth").agg(
         F.min(F.struct("id", "own", "pos", "once")).alias("first"),
@@ -163,19 +169,35 @@ def aligned_lines(lines: DataFrame, rare: int = RARE) -> DataFrame:
     level = F.when(once & F.col("rare"), 2).when(once, 1).otherwise(0)
     matched = lines.join(first, ["code", "nth"]).where("id != a_id or own != a_own")
     pairs = matched.groupBy("id", "own", "a_id", "a_own").agg(
-        F.collect_set(F.struct("pos", "a_pos", level.alias("level"))).alias("matches")
+        F.collect_set(F.struct("pos", "a_pos", level.alias("level"), "rare")).alias("matches")
     )
 
     def align(matches: pa.Array) -> list[list]:
-        return [
-            [patience_alignment([(m["pos"], m["a_pos"], m["level"]) for m in pair]) for pair in matches.to_pylist()]
-        ]
+        out = []
+        for pair in matches.to_pylist():
+            aligned = set(patience_alignment([(m["pos"], m["a_pos"], m["level"]) for m in pair]))
+            out.append(
+                [
+                    {"place": m["pos"], "aligned": m["pos"] in aligned, "frequent": not m["rare"]}
+                    for m in pair
+                    if m["pos"] in aligned or not m["rare"]
+                ]
+            )
+        return [out]
 
-    aligned = with_computed(
-        pairs.select("id", "own", "matches"), ["matches"], "places array<int>", align
+    found = with_computed(
+        pairs.select("id", "own", "matches"),
+        ["matches"],
+        "found array<struct<place: int, aligned: boolean, frequent: boolean>>",
+        align,
+    )
+    flat = found.select("id", "own", F.inline("found"))
+    return flat.groupBy("id", "own").agg(
+        *(
+            F.array_sort(F.collect_set(F.when(F.col(kind), F.col("place")))).alias(name)
+            for kind, name in (("aligned", "places"), ("frequent", "frequent"))
+        )
     )
-    flat = aligned.select("id", "own", F.explode("places").alias("place"))
-    return flat.groupBy("id", "own").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def common_blocks(text: str, places: list[int], min_words: int) -> list[int]:
@@ -204,27 +226,34 @@ def dedup_lines(
     text: str = "text",
     rare: int = RARE,
     min_words: int = MIN_WORDS,
+    frequent_words: int = FREQUENT_WORDS,
 ) -> DataFrame:
-    """The rows with common blocks cut from ``text``, and n_lines and deleted_lines.
+    """The rows with common blocks and frequent lines cut from ``text``, n_lines and deleted_lines.
 
     ``n_lines`` counts the original lines, ``deleted_lines`` has the places of those cut,
     from 0. Stores the lines (hashes, not texts) when called.
     """
     lines = stored(document_lines(docs, doc_id, text), "lines")
     aligned = aligned_lines(lines, rare).select(
-        F.col("id").alias("__id"), F.col("own").alias("__own"), F.col("places").alias("__places")
+        F.col("id").alias("__id"),
+        F.col("own").alias("__own"),
+        F.col("places").alias("__places"),
+        F.col("frequent").alias("__frequent"),
     )
     base = without(docs, "n_lines", "deleted_lines")
     same = (F.col(f"`{doc_id}`") == F.col("__id")) & (F.xxhash64(f"`{text}`") == F.col("__own"))
     joined = base.join(aligned, same, "left").drop("__id", "__own")
 
-    def cut(texts: pa.Array, places: pa.Array) -> list[list]:
+    def cut(texts: pa.Array, places: pa.Array, frequent: pa.Array) -> list[list]:
         out: list[list] = [[], [], []]
-        for value, own in zip(texts, places, strict=True):
-            value, own = value.as_py(), own.as_py()
-            gone = common_blocks(value, own, min_words) if own else []
+        for value, own, often in zip(texts, places, frequent, strict=True):
+            value, own, often = value.as_py(), own.as_py(), often.as_py()
+            drop = set(common_blocks(value, own, min_words)) if own else set()
+            if often:
+                lines = value.split("\n")
+                drop.update(at for at in often if len(lines[at].split()) >= frequent_words)
+            gone = sorted(drop)
             if gone:
-                drop = set(gone)
                 kept = [x for at, x in enumerate(value.split("\n")) if at not in drop]
                 left = "\n".join(kept)
             else:
@@ -235,6 +264,6 @@ def dedup_lines(
         return out
 
     ddl = f"`{text}` string, n_lines int, deleted_lines array<int>"
-    result = with_computed(joined, [text, "__places"], ddl, cut)
+    result = with_computed(joined, [text, "__places", "__frequent"], ddl, cut)
     names = [*(c for c in base.columns), "n_lines", "deleted_lines"]
     return result.select(*(result[f"`{c}`"] for c in names))

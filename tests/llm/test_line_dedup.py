@@ -60,6 +60,20 @@ def test_frequent_lines_are_treated_too(docs_of):
     assert got[0] == [rows[0][1]] and all(got[k] == [f"own text {k}\nend {k}"] for k in range(1, 200))
 
 
+def test_short_frequent_lines_are_cut(docs_of):
+    """The floor of ``min_words`` holds for lines with few holders only."""
+    rows = [(k, f"own {k}\nAll rights\nyes\nfew have {k // 2}\nend {k}") for k in range(40)]
+    got = by_id(dedup_lines(docs_of(rows), rare=3))
+    assert got[0] == [rows[0][1]]
+    assert all(got[k] == [f"own {k}\nyes\nfew have {k // 2}\nend {k}"] for k in range(1, 40))
+
+
+def test_frequent_lines_in_another_order_are_cut(docs_of):
+    rows = [(k, "all rights\nread more" if k % 2 else "read more\nall rights") for k in range(20)]
+    got = by_id(dedup_lines(docs_of(rows), rare=3))
+    assert got == {0: [rows[0][1]]} | {k: [""] for k in range(1, 20)}
+
+
 def test_partitioning_does_not_matter(docs_of):
     docs = docs_of(DOCS)
     assert by_id(dedup_lines(docs.repartition(7))) == by_id(dedup_lines(docs.coalesce(1)))
