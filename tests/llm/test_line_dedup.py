@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 from freightlens.llm.common import table
-from freightlens.llm.line_dedup import MIN_WORDS, common_blocks, dedup_lines, patience_alignment
+from freightlens.llm.line_dedup import MIN_WORDS, common_blocks, dedup_lines, passages, patience_alignment
 from freightlens.llm.queries import op3_line_dedup
 
 LONG = "this line has just over ten words in it, so it counts"
@@ -74,6 +74,38 @@ def test_frequent_lines_in_another_order_are_cut(docs_of):
     assert got == {0: [rows[0][1]]} | {k: [""] for k in range(1, 20)}
 
 
+def test_every_copy_of_a_repeat_is_cut(docs_of):
+    """A later document may hold a line or a passage more often than any earlier one."""
+    short = "one line of six words here\n\nand six more words after it"
+    rows = [(1, f"{LONG}\nown\n{short}"), (2, f"{LONG}\na\n{LONG.upper()}\n{short}\nb\n{short}\nc")]
+    got = by_id(dedup_lines(docs_of(rows)))
+    assert got == {1: [rows[0][1]], 2: ["a\n\nb\n\nc"]}
+
+
+def test_crossing_blocks_are_cut(docs_of):
+    """Also those that only another document than the first holder has in this order."""
+    one, two, three = (f"{w} short line of six words" for w in ("first", "second", "third"))
+    rows = [
+        (1, f"{three}\nx\n{two}\ny\n{one}\n{LONG}\n{OTHER}"),
+        (2, f"{OTHER}\n{LONG}\nown two\n{one}\n{two}"),
+        (3, f"{one}\n{two}\nown three\n{two}\n{one}"),
+    ]
+    got = by_id(dedup_lines(docs_of(rows)))
+    assert got == {
+        1: [rows[0][1]],
+        2: [f"own two\n{one}\n{two}"],
+        3: [f"own three\n{two}\n{one}"],
+    }
+
+
+def test_passages():
+    assert passages([], 10) == set()
+    assert passages([10, 12], 10) == set()
+    assert passages([5, 5, 5], 10) == {(0, 1), (1, 2)}
+    assert passages([3, 10, 2], 10) == {(0, 1), (1, 2)}
+    assert passages([4, 3, 2], 10) == set()
+
+
 def test_partitioning_does_not_matter(docs_of):
     docs = docs_of(DOCS)
     assert by_id(dedup_lines(docs.repartition(7))) == by_id(dedup_lines(docs.coalesce(1)))
@@ -118,9 +150,31 @@ def test_given_documents(spark):
         assert all(held[normal(lines[k])] for k in gone)
         for k, line in enumerate(lines):
             if len(line.split()) >= MIN_WORDS and held[normal(line)]:
-                # a document may hold a line more often than any earlier one
                 repeated += 1
-                assert k in gone or lines.count(line) > 1
+                assert k in gone
         for line in lines:
             held[normal(line)].add(doc)
     assert repeated > 100
+
+
+def test_given_passages(spark):
+    """No later copy of a long line or passage of an earlier document is left."""
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    got = {r.doc_id: r for r in op3_line_dedup(spark, sf_dir).collect()}
+    held: set[str] = set()
+    repeated = 0
+    for doc in sorted(texts):
+        lines = [(k, normal(x)) for k, x in enumerate(texts[doc].split("\n")) if x.strip()]
+        gone = {int(k) for k in got[doc].deleted_lines.split(",") if k}
+        own = set()
+        for first in range(len(lines)):
+            for last in range(first, min(first + MIN_WORDS, len(lines))):
+                passage = "\n".join(x for _, x in lines[first : last + 1])
+                if len(passage.split()) >= MIN_WORDS:
+                    own.add(passage)
+                    if passage in held:
+                        repeated += 1
+                        assert gone.issuperset(k for k, _ in lines[first : last + 1])
+        held |= own
+    assert repeated > 100
