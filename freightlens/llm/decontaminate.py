@@ -9,8 +9,9 @@ Larger benchmarks are dealt into several blocks, and the documents pass one bloc
 after the other, with a stored table between, so that memory stays the same.
 
 Defined cases: a null text has no words; a null or empty item has no window and
-never occurs; equal items each count; rows with a null or repeated id are judged one
-by one; empty tables give no hits; columns that bear the name of a result column are
+never occurs; equal items each count; documents with a null or repeated id are judged one
+by one; items with a null id hit like others, count as one item, come last in ``item_ids``
+as null and are left out where ids are joined to a name; empty tables give no hits; columns that bear the name of a result column are
 replaced, all others are kept.
 """
 
@@ -66,7 +67,7 @@ def benchmark_windows(
             codes, sizes, words, items = [], [], [], []
             names = batch.column("item").to_pylist()
             for item, data in zip(names, byte_arrays(batch.column("text")), strict=True):
-                if data is None or item is None:
+                if data is None:
                     continue
                 own = _Words(data)
                 size = min(n, own.hashes.size)
@@ -105,14 +106,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(docs: DataFrame, text: str, block: list) -> DataFrame:
     """Add what one block of windows hits to what earlier blocks have hit."""
-    by_code: dict[int, list[tuple[bytes, str]]] = {}
+    by_code: dict[int, list[tuple[bytes, str | None]]] = {}
     by_size: dict[int, set[int]] = {}
     for code, size, words, item in block:
         by_code.setdefault(code, []).append((bytes(words), item))
         by_size.setdefault(size, set()).add(code)
     codes = {s: np.sort(np.array(list(c), np.int64).view(np.uint64)) for s, c in by_size.items()}
 
-    def hits(own: _Words) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(own: _Words) -> tuple[list[tuple[int, int]], set[str | None]]:
         spans, items = [], set()
         for size, wanted in codes.items():
             windows = window_hashes(own.hashes, size)
@@ -141,7 +142,8 @@ def _scan(docs: DataFrame, text: str, block: list) -> DataFrame:
             old = [(s["first"], s["last"]) for s in old_spans]
             counts.append(int(own.hashes.size))
             all_spans.append([{"first": a, "last": b} for a, b in _merged(old + new_spans)])
-            all_items.append(sorted(new_items.union(old_items)))
+            every = new_items.union(old_items)
+            all_items.append(sorted(every, key=lambda item: (item is None, item or "")))
         return [counts, all_spans, all_items]
 
     return with_computed(docs, [text, "hit_spans", "item_ids"], _FOUND, compute)
@@ -160,7 +162,7 @@ def find_contamination(
 
     ``hit_spans`` are runs of word positions, end exclusive, that lie inside an
     occurrence of a window; ``item_ids`` are the items with occurring windows, sorted as
-    strings; ``n_hit`` counts the words hit. Runs jobs over the benchmark when called.
+    strings, null last; ``n_hit`` counts the words hit. Runs jobs over the benchmark when called.
     """
     windows = stored(benchmark_windows(benchmark, item_id, item_text, n), "windows")
     blocks = max(1, math.ceil(windows.count() / max_windows))

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from brute import contamination
 from freightlens.llm import decontaminate as op
 from freightlens.llm.common import table
+from freightlens.llm.oracle import ORACLE
 from freightlens.llm.queries import op2_decontaminate
+from oracle_compare import differences, duck
 
 TEN = "one two three four five six seven eight nine ten"
 ITEMS = [
@@ -54,6 +58,25 @@ def test_blocks_of_a_large_benchmark_give_the_same(docs_of, items):
     assert digest(found) == sorted(contamination(DOCS, ITEMS), key=repr)
 
 
+def test_items_without_id_count_as_in_the_statement(spark, tmp_path):
+    rows = [*ITEMS, (None, "words of no id"), (None, "other item without id"), (None, None)]
+    docs = [*DOCS[:8], (9, "here are words of no id and the other item without id"), (11, f"of no id, {TEN}")]
+    docs.append((12, f"words of no id {TEN}"))
+    for name, key, made in (("benchmark", "item_id", rows), ("documents", "doc_id", docs)):
+        ids, texts = zip(*made, strict=True)
+        data = pa.table({key: pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+        pq.write_table(data, str(tmp_path / f"{name}.parquet"))
+    got = op2_decontaminate(spark, str(tmp_path))
+    assert differences(got, duck(str(tmp_path)).sql(ORACLE["op2_decontaminate"])) == []
+    found = {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()}
+    assert found[9] == (8, 1) and found[11] == (10, 1) and found[12] == (14, 2)
+    items = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    blocks = op.find_contamination(frame, items, max_windows=2).where("doc_id = 12").first()
+    assert blocks.item_ids == ["1", None]
+    assert not op.decontaminate(frame, items).where("doc_id in (9, 12)").count()
+
+
 def test_hits_are_verified_word_by_word(docs_of):
     """A block whose code belongs to other words than the document's gives no hit."""
     data = np.frombuffer(b"an item that is short", np.uint8)
