@@ -60,12 +60,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group linked at a similarity of 0.8.
 
-    Documents without words, and those with a null id, are in no group and stay.
+    Rows that share an id but not the text are documents of their own, ordered by a hash
+    of the text; equal rows are kept or dropped together. Documents without words, and
+    those with a null id, are in no group and stay.
     """
     common.ship(spark)
-    found = near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return _own(docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti"), docs)
+    own = F.xxhash64("text")
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", own.alias("own")))
+    found = near_duplicates(docs.select(key.alias("key"), "text"), "key", percent=80)
+    gone = found.where(~F.col("kept")).select(
+        F.col("key.doc_id").alias("__gone"), F.col("key.own").alias("__own")
+    )
+    same = (F.col("doc_id") == F.col("__gone")) & (own == F.col("__own"))
+    return _own(docs.join(gone.distinct(), same, "left_anti"), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,20 @@ def test_near_stage(steps):
     assert texts(steps[3]) == {k: before[k] for k in kept}
 
 
+def test_near_stage_judges_rows_that_share_an_id_apart(spark, docs_of):
+    first, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("a", "b"))
+    rows = [
+        (1, first), (2, f"{first} end"), (2, other), (3, "clean words of its own"),
+        (4, f"{other} end"), (5, f"c {other}"), (5, "c"), (6, "d e f"), (6, "g h i"), (None, first),
+    ]
+    twice = [(7, " ".join(f"z{k}" for k in range(60))), (7, " ".join(f"z{k}" for k in range(61)))]
+    found = corpus_pipeline.near_dedup(spark, docs_of([*rows, *twice]), SF_DIR).collect()
+    got = [(r.doc_id, r.text) for r in found]
+    kept = [rows[k] for k in (0, 2, 3, 6, 7, 8, 9)]
+    assert sorted((r for r in got if r[0] != 7), key=repr) == sorted(kept, key=repr)
+    assert len([r for r in got if r in twice]) == 1
+
+
 def test_decontamination_stage(spark, steps):
     items = [(r[0], r[1]) for r in table(spark, SF_DIR, "benchmark").collect()]
     before = texts(steps[3])
