@@ -1,7 +1,8 @@
 """Secret scan: plain patterns, and credentials whose parts stand close to each other.
 
 Base patterns report on their own: assigned values, access identifiers and long hex
-strings. Other strings may or may not be secret: random-looking tokens and endpoints.
+strings. Other strings may or may not be secret: random-looking tokens, of 24 characters or
+more without an upper bound, and endpoints.
 These weak candidates are reported only when complementary parts stand in the same
 scope, which is a stretch of ``scope`` characters: a token next to an access identifier
 or an endpoint, an endpoint next to an access identifier or a token that is reported.
@@ -38,7 +39,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,128}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(
     r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
 )

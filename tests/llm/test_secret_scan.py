@@ -61,6 +61,16 @@ def test_spans_are_in_order(docs_of):
         assert keys == sorted(keys)
 
 
+def test_long_tokens_are_linked(docs_of):
+    """A token has no greatest length, and its near end counts."""
+    rows = [(k, f"{ACCESS} {(WEAK * 50)[:n]}") for k, n in enumerate((128, 129, 2000))]
+    rows += [(3, f"{WEAK * 50} {ACCESS}"), (4, WEAK * 50), (5, f"{ACCESS} {'a' * 200}")]
+    linked = {r[0]: [s for s in r[2].split(",") if s.startswith("token")] for r in run(docs_of(rows))}
+    assert linked == {
+        0: ["token:21:149"], 1: ["token:21:150"], 2: ["token:21:2021"], 3: ["token:0:2000"], 4: [], 5: []
+    }
+
+
 def test_empty_table(docs_of):
     assert run(docs_of([])) == []
 
