@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from freightlens.llm import common
 from freightlens.llm.decontaminate import find_contamination
+from freightlens.llm.fill_middle import fill_in_middle, restored
 from freightlens.llm.language_id import identify_languages
 from freightlens.llm.line_dedup import dedup_lines
+from freightlens.llm.mixing import mix_sources
 from freightlens.llm.near_dedup import near_duplicates
 from freightlens.llm.packing import pack
 from freightlens.llm.quality import classify_quality
@@ -18,6 +20,8 @@ from freightlens.llm.secret_scan import joined_spans, scan_secrets
 from freightlens.llm.sharding import rendezvous_shard, with_shards, with_slots
 from freightlens.llm.topk import top_k
 from freightlens.llm.url_filter import Rule, filter_urls, url_host
+from freightlens.llm.vector_codes import codebook_text, encode_vectors, fit_codebooks
+from freightlens.sources import stored
 
 #: Fixed values of the query on URLs.
 URL_RULES = [
@@ -145,6 +149,41 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = fit_codebooks(vectors)
+    coded = stored(encode_vectors(vectors, books, keep=["label"]), "codes")
+    # stored, so that Spark knows its size and may split a label that many rows have
+    totals = stored(
+        coded.groupBy(F.col("label").alias("own")).agg(F.sum("error").alias("label_error")), "errors"
+    )
+    found = coded.join(totals, F.col("label").eqNullSafe(F.col("own")))
+    return found.select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.lit(codebook_text(books)), 256).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_fusion": op1_language_fusion,
     "op2_decontaminate": op2_decontaminate,
@@ -156,4 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_threshold_topk": op8_threshold_topk,
     "op9_packing": op9_packing,
     "op10_ordinal_quality": op10_ordinal_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_mix": op12_source_mix,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -18,6 +18,6 @@ def test_matches_oracle(spark, name, sf_dir):
 
 def test_each_operator_has_one_query():
     numbers = [name.split("_")[0] for name in QUERIES]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
