@@ -1,11 +1,10 @@
 from freightlens.functions.calendar import day, hour_of_day, weekday_from_zero, whole_hours
-from freightlens.functions.numeric import mean, round_half_up, rounded, share
+from freightlens.functions.numeric import round_half_up, rounded, share
 from freightlens.functions.pearson import pearson_centred, pearson_moments, pearson_pairwise
 
 __all__ = [
     "day",
     "hour_of_day",
-    "mean",
     "pearson_centred",
     "pearson_moments",
     "pearson_pairwise",

@@ -16,18 +16,6 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: round_half_up(F.col(c), digits) for c in columns})
 
 
-def mean(column: Column | str) -> Column:
-    """Average of doubles from an exact sum, so that it does not depend on the rows' order.
-
-    Values count to ten decimals. If one does not fit that (1e18 or more, NaN), the plain
-    average is taken.
-    """
-    value = F.col(column) if isinstance(column, str) else column
-    exact = value.try_cast("decimal(28,10)")
-    total = F.try_divide(F.sum(exact).cast("double"), F.count(exact))
-    return F.when(F.count(exact) == F.count(value), total).otherwise(F.avg(value))
-
-
 def share(condition: Column) -> Column:
     """Fraction of rows where the condition holds; NULL counts as not holding."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))

@@ -1,6 +1,7 @@
 from freightlens.operators.bins import bin_column, label_rank
 from freightlens.operators.correlation import lead_corr, pearson_ranked, pearson_wide
 from freightlens.operators.events import next_event_after, transition_events
+from freightlens.operators.exact import Mean, Rows, exact_aggregate, exact_deviation, mean, share
 from freightlens.operators.features import feature_set
 from freightlens.operators.ntile import exact_ntile
 from freightlens.operators.order_stats import group_quantiles, locate_ranks
@@ -22,9 +23,13 @@ from freightlens.operators.ranking import capacity_windows, top_ranked
 from freightlens.operators.timeseries import lag_features, rolling_rows_mean, seasonal_forecast
 
 __all__ = [
+    "Mean",
+    "Rows",
     "bin_column",
     "capacity_windows",
     "cross_profile",
+    "exact_aggregate",
+    "exact_deviation",
     "exact_ntile",
     "excursion_association",
     "feature_set",
@@ -35,6 +40,7 @@ __all__ = [
     "lag_features",
     "lead_corr",
     "locate_ranks",
+    "mean",
     "mean_of_period_means",
     "next_event_after",
     "pearson_ranked",
@@ -43,6 +49,7 @@ __all__ = [
     "quality_profile",
     "rolling_rows_mean",
     "seasonal_forecast",
+    "share",
     "share_where",
     "sigma_excursions",
     "top_ranked",

@@ -1,7 +1,7 @@
 """Rows that stand out against statistics of the whole table.
 
-Each operator reads its input twice, once for the statistics and once for the
-rows; the statistics come in as a scalar subquery, so nothing is joined.
+Each operator reads its input for the statistics and again for the rows; the statistics
+come in as scalar subqueries, so nothing is joined.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.functions import mean, round_half_up
+from freightlens.functions import round_half_up
+from freightlens.operators.exact import exact_aggregate, exact_deviation, mean
 from freightlens.operators.order_stats import group_quantiles
+from freightlens.operators.profiles import rounded_each
 
 
 def iqr_outliers(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
@@ -29,8 +31,12 @@ def iqr_outliers(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
 
 
 def sigma_limit(df: DataFrame, value: str, k: float) -> Column:
-    """Mean plus k population standard deviations of a column, as a scalar."""
-    return df.agg(F.avg(value) + k * F.stddev_pop(value)).scalar()
+    """Mean plus k population standard deviations of a column, as a scalar.
+
+    Both come from exact sums, so a row on the limit stays on its side under any partitioning.
+    """
+    average, deviation = exact_deviation(df, value)
+    return average + k * deviation
 
 
 def sigma_excursions(df: DataFrame, value: str, k: float = 3.0) -> DataFrame:
@@ -55,12 +61,9 @@ def excursion_association(
         *(F.when(flag, 1).otherwise(0).alias(name) for name, flag in flags.items()),
         F.col(outcome).alias("_outcome"),
     )
-    keys = [excursion, *flags]
-    return (
-        marked.groupBy(*keys)
-        .agg(round_half_up(mean("_outcome"), digits).alias(names))
-        .orderBy(*(F.desc(key) for key in keys))
-    )
+    keys = {key: F.col(key) for key in (excursion, *flags)}
+    found = exact_aggregate(marked, keys, {names: mean("_outcome")})
+    return rounded_each(found, {names: digits}).orderBy(*(F.desc(key) for key in keys))
 
 
 def value_summary(
@@ -72,12 +75,9 @@ def value_summary(
     """
     names: Sequence[str] = (f"{prefix}_q1", f"{prefix}_median", f"{prefix}_q3")
     quartiles = group_quantiles(df, value, dict(zip(names, ("0.25", "0.50", "0.75"))), "floor")
-    moments = df.agg(
-        F.struct(
-            round_half_up(mean(value), digits).alias("mean"),
-            round_half_up(F.stddev_pop(value), digits).alias("std"),
-        )
-    ).scalar()
+    average, deviation = exact_deviation(df, value)
     return quartiles.select(
-        moments["mean"].alias(f"{prefix}_mean"), moments["std"].alias(f"{prefix}_std"), *names
+        round_half_up(average, digits).alias(f"{prefix}_mean"),
+        round_half_up(deviation, digits).alias(f"{prefix}_std"),
+        *names,
     )

@@ -7,22 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.functions import mean, round_half_up, share
+from freightlens.functions import round_half_up, share
+from freightlens.operators.exact import Mean, Rows, exact_aggregate, mean
 
 
 def group_profile(
     df: DataFrame,
     keys: Mapping[str, Column],
-    measures: Mapping[str, Column],
+    measures: Mapping[str, Column] | Mapping[str, Mean | Rows],
     digits: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Aggregate ``measures`` per ``keys`` and round the ones named in ``digits``."""
+    """Aggregate ``measures`` per ``keys`` and round the ones named in ``digits``.
+
+    Measures are either all aggregate columns or all exact measures.
+    """
     digits = digits or {}
-    named = [
-        (round_half_up(agg, digits[name]) if name in digits else agg).alias(name)
-        for name, agg in measures.items()
-    ]
-    return df.groupBy(*(key.alias(name) for name, key in keys.items())).agg(*named)
+    if any(isinstance(m, (Mean, Rows)) for m in measures.values()):
+        return rounded_each(exact_aggregate(df, keys, measures), digits)
+    found = df.groupBy(*(key.alias(name) for name, key in keys.items())).agg(
+        *(agg.alias(name) for name, agg in measures.items())
+    )
+    return rounded_each(found, digits)
+
+
+def rounded_each(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
+    """Round the named columns to the given digits each."""
+    return df.withColumns({c: round_half_up(F.col(c), n) for c, n in digits.items()})
 
 
 def cross_profile(
@@ -113,12 +123,9 @@ def mean_of_period_means(
 
     ``measures`` maps an output name to its source column and rounding.
     """
-    per_period = df.groupBy(period.alias("_period"), key).agg(
-        *(mean(source).alias(name) for name, (source, _) in measures.items())
-    )
-    return per_period.groupBy(key).agg(
-        *(
-            round_half_up(mean(name), digits).alias(name)
-            for name, (_, digits) in measures.items()
-        )
+    of_key = {key: F.col(key)}
+    per_period = exact_aggregate(
+        df, {**of_key, "_period": period}, {name: mean(source) for name, (source, _) in measures.items()}
     )
+    overall = exact_aggregate(per_period, of_key, {name: mean(name) for name in measures})
+    return rounded_each(overall, {name: digits for name, (_, digits) in measures.items()})

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightlens.functions import mean as average
-from freightlens.functions import round_half_up
+from freightlens.operators.exact import Rows, exact_aggregate
+from freightlens.operators.exact import mean as average
+from freightlens.operators.profiles import rounded_each
 from freightlens.sources.scratch import stored
 
 
@@ -72,12 +73,7 @@ def capacity_windows(
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
     place = F.col("before") + F.col("offset") - F.col("first")
     number = F.floor(place / capacity) + 1
-    return (
-        rows.join(starts, [*same, F.col("part") == F.col("_part")])
-        .groupBy(*groups, number.alias(window))
-        .agg(
-            F.count(F.lit(1)).alias(count),
-            round_half_up(average(value), digits).alias(mean),
-        )
-        .orderBy(*groups, window)
-    )
+    numbered = rows.join(starts, [*same, F.col("part") == F.col("_part")])
+    keys = {g: F.col(g) for g in groups} | {window: number}
+    found = exact_aggregate(numbered, keys, {count: Rows(), mean: average(value)})
+    return rounded_each(found, {mean: digits}).orderBy(*groups, window)

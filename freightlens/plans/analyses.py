@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from freightlens.functions import (
     day,
     hour_of_day,
-    mean,
     round_half_up,
-    share,
     weekday_from_zero,
     whole_hours,
 )
+from freightlens.functions import share as plain_share
 from freightlens.operators import (
+    Rows,
     bin_column,
     capacity_windows,
     cross_profile,
@@ -30,6 +30,7 @@ from freightlens.operators import (
     label_rank,
     lag_features,
     lead_corr,
+    mean,
     mean_of_period_means,
     next_event_after,
     pearson_ranked,
@@ -38,6 +39,7 @@ from freightlens.operators import (
     quality_profile,
     rolling_rows_mean,
     seasonal_forecast,
+    share,
     share_where,
     sigma_excursions,
     top_ranked,
@@ -107,7 +109,7 @@ def equipment_versus_delay(shipments: DataFrame) -> DataFrame:
         {
             "avg_delivery_delay_hrs": mean("delivery_time_deviation"),
             "avg_loading_time_hrs": mean("loading_unloading_time"),
-            "record_count": F.count(F.lit(1)),
+            "record_count": Rows(),
         },
         {"avg_delivery_delay_hrs": 2, "avg_loading_time_hrs": 2},
     ).orderBy(F.desc("equipment_available"))
@@ -177,7 +179,7 @@ def supplier_deciles(shipments: DataFrame, tiles: int = 10, top: int = 10) -> Da
             {
                 "avg_lead_time_days": mean("lead_time_days"),
                 "avg_reliability_score": mean("supplier_reliability_score"),
-                "shipment_count": F.count(F.lit(1)),
+                "shipment_count": Rows(),
             },
             {"avg_lead_time_days": 2, "avg_reliability_score": 4},
         )
@@ -197,7 +199,7 @@ def conditions_by_risk(shipments: DataFrame, threshold: float = HIGH_RISK) -> Da
         {
             "avg_traffic_congestion": mean("traffic_congestion_level"),
             "avg_weather_severity": mean("weather_condition_severity"),
-            "record_count": F.count(F.lit(1)),
+            "record_count": Rows(),
         },
         {"avg_traffic_congestion": 2, "avg_weather_severity": 2},
     )
@@ -232,7 +234,7 @@ def lagged_features(shipments: DataFrame, late_hours: float = 1) -> DataFrame:
         F.avg("traffic_congestion_level").alias("avg_traffic"),
         F.avg("weather_condition_severity").alias("avg_weather"),
         F.avg("delivery_time_deviation").alias("avg_delay"),
-        share(F.col("delivery_time_deviation") > late_hours).alias("delay_flag"),
+        plain_share(F.col("delivery_time_deviation") > late_hours).alias("delay_flag"),
     )
     lags = {
         "traffic_lag1": "avg_traffic",

@@ -1,0 +1,117 @@
+"""Exact means and deviations against Python's own exact addition."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from freightlens.operators import (
+    Rows,
+    exact_aggregate,
+    exact_deviation,
+    mean,
+    sigma_excursions,
+    value_summary,
+)
+
+FIXED = {
+    "tiny": [1e-11, 3e-11],
+    "one left": [1e17, 1.0, -1e17],
+    "tiny left": [1e-11, 1e17, -1e17],
+    "no value": [None, None],
+    "some values": [None, 2.0, 3.0],
+    "smallest": [5e-324, 5e-324],
+    "largest": [1.7e308, -1.7e308, 1.0],
+    "tenths": [-0.1] * 10,
+    "above a tie": [2.0**53, 1.0, 2.0**-60],
+    "tie to even below": [2.0**53, 1.0],
+    "tie to even above": [2.0**53, 3.0],
+    "negative tie": [-(2.0**53), -1.0, -(2.0**-900)],
+    "zeros": [0.0, -0.0],
+}
+
+
+def of_any_size(r):
+    kind = r.randrange(5)
+    if kind == 0:
+        return r.uniform(-1, 1)
+    if kind == 1:
+        return r.uniform(-1, 1) * 2.0 ** r.randint(-1074, 990)
+    if kind == 2:
+        return float(2 ** r.randint(0, 60)) * r.choice((1, -1))
+    if kind == 3:
+        return math.nextafter(2.0 ** r.randint(-300, 300), 0)
+    return r.gauss(0, 1) * 10.0 ** r.randint(-5, 20)
+
+
+@pytest.fixture(scope="module")
+def groups():
+    r = random.Random(5)
+    drawn = {f"drawn {g}": [of_any_size(r) for _ in range(r.randint(1, 30))] for g in range(200)}
+    return FIXED | drawn
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_means_equal_exact_addition(spark, groups, partitions):
+    rows = [(g, x) for g, values in groups.items() for x in values]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(partitions)
+    got = exact_aggregate(df, {"g": F.col("g")}, {"m": mean("x"), "n": Rows()}).collect()
+    present = {g: [x for x in values if x is not None] for g, values in groups.items()}
+    assert {r.g: (r.m, r.n) for r in got} == {
+        g: (math.fsum(v) / len(v) if v else None, len(groups[g])) for g, v in present.items()
+    }
+
+
+def test_means_of_several_columns_stay_apart(spark):
+    rows = [(1, 1e20, 1.0), (1, None, 3.0), (2, 5.0, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    got = exact_aggregate(df, {"g": F.col("g")}, {"a": mean("a"), "n": Rows(), "b": mean("b")})
+    assert sorted(map(tuple, got.collect())) == [(1, 1e20, 2, 2.0), (2, 5.0, 1, None)]
+
+
+def test_odd_values_act_as_in_plain_addition(spark):
+    df = spark.createDataFrame([(1, math.inf), (1, 1.0), (2, math.nan), (3, math.inf), (3, -math.inf)], "g int, x double")
+    got = {r.g: r.m for r in exact_aggregate(df, {"g": F.col("g")}, {"m": mean("x")}).collect()}
+    assert got[1] == math.inf and math.isnan(got[2]) and math.isnan(got[3])
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "g int, x double")
+    assert exact_aggregate(df, {"g": F.col("g")}, {"m": mean("x")}).collect() == []
+    assert exact_aggregate(df, {}, {"m": mean("x"), "n": Rows()}).collect() == [(None, 0)]
+    assert df.select(*exact_deviation(df, "x")).collect() == []
+    assert value_summary(df, "x", "t").collect() == []
+
+
+def test_rows_collapse_before_the_shuffle(spark):
+    """The only shuffles are of sums: partial aggregates stand below each exchange."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("x"))
+    plan = exact_aggregate(df, {"g": F.col("g")}, {"m": mean("x")})._jdf.queryExecution().executedPlan()
+    lines = [line.strip(" +-:*()0123456789") for line in plan.toString().splitlines()]
+    for at, line in enumerate(lines):
+        if line.startswith("Exchange"):
+            assert "Aggregate" in lines[at + 1]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_rows_on_the_limit_stay_on_their_side(spark, partitions):
+    """Mean and deviation are powers of two here, so the limit is a value of the table."""
+    values = [0.0] * 500 + [2.0] * 500 + [1.0 + 1e-17, 4.0]
+    centred = [x * 2.0**30 for x in values]
+    df = spark.createDataFrame([(x,) for x in centred], "x double").repartition(partitions)
+    average = math.fsum(centred) / len(centred)
+    deviation = math.sqrt(math.fsum((x - average) ** 2 for x in centred) / len(centred))
+    found = df.limit(1).select(*exact_deviation(df, "x")).first()
+    assert tuple(found) == (average, deviation)
+    k = (4.0 * 2.0**30 - average) / deviation
+    above = [x for x in centred if x > average + k * deviation]
+    assert sorted(r.x for r in sigma_excursions(df, "x", k).collect()) == above
+
+
+def test_deviation_far_from_zero(spark):
+    """Sums of plain squares would cancel here."""
+    df = spark.createDataFrame([(1e9 + d,) for d in (-0.5, 0.5)] * 3, "x double")
+    assert df.limit(1).select(*exact_deviation(df, "x")).first()[1] == 0.5
