@@ -1,0 +1,139 @@
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from freightlens.llm.mixing import mix_sources, sainte_lague, source_targets, word_count
+
+
+def brute_targets(sizes, weights=(3, 1, 2), share=Fraction(3, 2), most=2):
+    """Shares the mix out by weight and the excess again, until none is above its limit."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    targets, left = dict.fromkeys(sizes, Fraction(0)), share * sum(sizes.values())
+    free = set(sizes)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        above = {s for s in free if weight[s] * level > most * sizes[s]}
+        for s in above or free:
+            targets[s] = Fraction(most * sizes[s]) if above else weight[s] * level
+        left -= sum(targets[s] for s in above)
+        free = free - above if above else set()
+    return targets
+
+
+def brute_seats(rows, seats):
+    """Highest quotients one by one; ``rows`` are (order, votes, limit)."""
+    won = Counter()
+    for _ in range(seats):
+        best = max(
+            (r for r in rows if won[r[0]] < r[2]),
+            key=lambda r: (Fraction(r[1]) / (2 * won[r[0]] + 1), -r[0]),
+        )
+        won[best[0]] += 1
+    return {r[0]: won[r[0]] for r in rows}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_match_sharing_out_again(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{k}": r.choice((0, 1, 5, 100, 10_000, 10**6)) for k in range(r.randint(1, 9))}
+    sizes[None] = 50
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {x.source: x.target for x in source_targets(df, (3, 1, 2), 1.5, 2).collect()}
+    assert got == {s: pytest.approx(float(t)) for s, t in brute_targets(sizes).items()}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_seats_match_taking_quotients_one_by_one(spark, seed):
+    """Groups of other sizes, rows without votes, and limits that votes nearly or just reach."""
+    r = random.Random(seed)
+    rows, want = [], {}
+    for g in range(12):
+        own = []
+        for k in range(r.choice((1, 2, 5, 40))):
+            limit = r.choice((0, 1, 2, 7, 60))
+            votes = float(limit) if r.random() < 0.4 else round(r.uniform(0.9 if g % 2 else 0, 1) * limit, 3)
+            own.append((k, votes, limit))
+        seats = round(sum(v for _, v, _ in own) + 1e-9)
+        rows += [(g, k, v, limit, seats) for k, v, limit in own]
+        want |= {(g, k): n for k, n in brute_seats(own, seats).items()}
+    df = spark.createDataFrame(rows, "g int, k int, votes double, limit long, seats long")
+    got = {(x.g, x.k): x.quota for x in sainte_lague(df, ["g"], "k").collect()}
+    assert got == want
+
+
+def test_few_quotients_are_ranked(spark):
+    """A million seats for three rows make a dozen rows, not a million."""
+    rows = [(0, 1e6, 2_000_000, 1_600_000), (1, 5e5, 500_000, 1_600_000), (2, 1e5, 300_000, 1_600_000)]
+    df = spark.createDataFrame(rows, "k int, votes double, limit long, seats long")
+    found = sainte_lague(df, [], "k")
+    assert {x.k: x.quota for x in found.collect()} == {0: 1_000_000, 1: 500_000, 2: 100_000}
+
+
+def sources(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.source].append(r)
+    return out
+
+
+def test_each_source_comes_near_its_target(spark):
+    r = random.Random(1)
+    rows = []
+    for k in range(3000):
+        source = r.choice(["hot"] * 8 + ["a", "b", "c", None])
+        rows.append((k, " ".join(["w"] * r.choice((0, 1, 3, 40, 400))), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs, block=16, shard_words=5000).collect()
+    assert sorted((x.doc_id, x["size"]) for x in got) == [(k, len(t.split())) for k, t, _ in rows]
+    for own in sources(got).values():
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 0.01 * own[0].target + 16
+        assert all(0 <= x.taken <= 2 * x["size"] for x in own)
+        assert own[0].source_size == sum(x["size"] for x in own)
+    other = mix_sources(docs.repartition(3), block=16, shard_words=5000).collect()
+    assert sorted(map(repr, other)) == sorted(map(repr, got))
+    seeded = mix_sources(docs, block=16, shard_words=5000, seed=7).collect()
+    assert sorted(map(repr, seeded)) != sorted(map(repr, got))
+
+
+def test_nulls_repeats_and_names(spark):
+    """A third of the rows are one record; its copies share shards and take their own words."""
+    rows = [(5, "a b c", "x")] * 4000 + [(None, None, None)] * 3000 + [(None, "", "x"), (1, "y " * 7, None)]
+    rows += [(k, "u v " * 30, "z") for k in range(100)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, Copy int, place int")
+    got = mix_sources(docs).collect()
+    assert Counter((x.doc_id, x["size"], x.source) for x in got) == Counter(
+        (d, len((t or "").split()), s) for d, t, s in rows
+    )
+    for own in sources(got).values():
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 32
+        assert all(x.taken <= 2 * x["size"] for x in own)
+    assert mix_sources(docs.limit(0)).collect() == []
+    none = mix_sources(spark.createDataFrame([(1, "  ", "a")], "doc_id long, text string, source string"))
+    assert [(x["size"], x.source_size, x.target, x.taken) for x in none.collect()] == [(0, 0, 0.0, 0)]
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 500_000, "a"), (2, " " * 1_000_000, "a"), (3, "w" * 1_000_000, "b")]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {x.doc_id: x["size"] for x in got} == {1: 500_000, 2: 0, 3: 1}
+    # a has weight 3 of 4 of 750,001 words, b is at its limit, so a gets the rest
+    assert {x.source: x.target for x in got} == {"a": 749_999.5, "b": 2.0}
+    assert abs(sum(x.taken for x in got if x.source == "a") - 749_999.5) <= 32
+
+
+def test_words(spark):
+    texts = [None, "", " a\tb\nc\x0bd\x0ce\rf ", "a b 　", "😀 é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [0, 0, 6, 2, 2]
+
+
+def test_no_python_on_the_main_path(spark):
+    docs = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
+    plan = mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Python", "Arrow", "Pandas"))
