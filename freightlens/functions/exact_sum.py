@@ -5,134 +5,104 @@ exponent, and less than 2^75 of them. Cut into four digits of 20 bits, the numbe
 bin are added as longs, which merge in any order; some 10^12 rows fit. The sums of a
 group's few bins are then carried into one long number, and that is rounded once, to the
 nearest double, to even in a tie.
+
+Expressions are SQL text, which builds far faster than nested Python lambdas.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from functools import cache
 
 _BITS, DIGITS, _LEAST = 20, 4, -1074
 _BASE = 1 << _BITS
 _BINS = (1024 - _LEAST) // _BITS + 1
 
 
-def finite(value: Column) -> Column:
+def finite(value: str) -> str:
     """The value, or NULL if it is NaN or infinite."""
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return f"CASE WHEN NOT isnan({value}) AND abs({value}) < double('inf') THEN {value} END"
 
 
-def exponent_bin(value: Column) -> Column:
+def exponent_bin(value: str) -> str:
     """The bin of a finite double; NULL for NULL."""
     # the logarithm may be off by one next to a power of two, which the bounds allow for
-    power = F.coalesce(F.floor(F.log2(F.abs(value))), F.lit(_LEAST))
-    bin_ = F.floor((power - 53 - _LEAST) / _BITS).cast("int")
-    return F.when(value.isNotNull(), F.greatest(bin_, F.lit(0)))
+    power = f"coalesce(floor(log2(abs({value}))), {_LEAST})"
+    bin_ = f"greatest(cast(floor(({power} - {53 + _LEAST}) / {_BITS}) AS int), 0)"
+    return f"CASE WHEN {value} IS NOT NULL THEN {bin_} END"
 
 
-def _scale(bin_: Column, half: int) -> Column:
-    """One of two factors that bring a bin's unit to 1; each is within a double's range."""
+@cache
+def _scale(half: int) -> str:
+    """For each bin one of two factors that bring its unit to 1, each within a double's range."""
     scales = [-(_LEAST + _BITS * b) for b in range(_BINS)]
     factors = [2.0 ** (s // 2, s - s // 2)[half] for s in scales]
-    return F.get(F.expr("array(" + ", ".join(f"{f!r}D" for f in factors) + ")"), bin_)
+    return "array(" + ", ".join(f"{f!r}D" for f in factors) + ")"
 
 
-def units(value: Column, bin_: Column) -> Column:
+def units(value: str, bin_: str) -> str:
     """A finite double in units of its bin; exact, as it is scaled by powers of two."""
-    return value * _scale(bin_, 0) * _scale(bin_, 1)
+    return f"{value} * get({_scale(0)}, {bin_}) * get({_scale(1)}, {bin_})"
 
 
-def unit_digits(count: Column) -> list[Column]:
+def unit_digits(count: str) -> list[str]:
     """The four digits of a number of units, lowest first, each with the number's sign."""
     digits = []
     for place in range(DIGITS):
         # the remainder of doubles is exact and has the sign of the first, as the cast keeps it
-        upto = count if place == DIGITS - 1 else count % float(_BASE ** (place + 1))
-        digits.append((upto / float(_BASE**place)).cast("long"))
+        upto = count if place == DIGITS - 1 else f"{count} % {float(_BASE ** (place + 1))!r}D"
+        digits.append(f"cast(({upto}) / {float(_BASE**place)!r}D AS long)")
     return digits
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _let(name: str, value: str, then: str) -> str:
+    """``then``, in which ``name`` is a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
 
 
-def exact_total(entries: Column) -> Column:
-    """The sum, rounded once, of (bin, digits) entries, digits being sums of ``unit_digits``.
+def _carried(sums: str, sign: int) -> str:
+    """(carry, digits): digits from 0 to the base; a negative number carries -1 at the end."""
+    total = f"(s.carry + {sign} * d.digit)"
+    digit = f"named_struct('place', d.place, 'digit', {total} & {_BASE - 1}L)"
+    none = "cast(array() AS array<struct<place:int,digit:bigint>>)"
+    return (
+        f"aggregate({sums}, named_struct('carry', 0L, 'digits', {none}), (s, d) -> named_struct("
+        f"'carry', shiftright({total}, {_BITS}), 'digits', concat(s.digits, array({digit}))))"
+    )
 
-    NULL without entries.
-    """
-    zero = F.lit(0).cast("long")
-    bins = F.transform(entries, lambda e: e["bin"])
-    # room for the highest digit and for what its sum carries over
-    places = F.sequence(F.array_min(bins), F.array_max(bins) + 7)
 
-    def at(place: Column) -> Column:
-        return F.aggregate(
-            entries,
-            zero,
-            lambda total, e: total + F.coalesce(F.get(e["digits"], place - e["bin"]), zero),
-        )
-
-    sums = F.transform(places, lambda p: F.struct(p.alias("place"), at(p).alias("digit")))
-
-    def carried(sums: Column, sign: int) -> Column:
-        """(carry, digits): digits from 0 to the base; a negative number carries -1 at the end."""
-
-        def step(state: Column, own: Column) -> Column:
-            total = state["carry"] + own["digit"] * sign
-            digit = F.struct(own["place"].alias("place"), total.bitwiseAND(F.lit(_BASE - 1)).alias("digit"))
-            return F.struct(
-                F.shiftright(total, _BITS).alias("carry"),
-                F.concat(state["digits"], F.array(digit)).alias("digits"),
-            )
-
-        none = F.array().cast("array<struct<place:int,digit:bigint>>")
-        return F.aggregate(sums, F.struct(zero.alias("carry"), none.alias("digits")), step)
+def _rounded(digits: str) -> str:
+    """The double nearest to a number given by its digits, lowest first.
 
-    def made(sums: Column) -> Column:
-        def signed(up: Column) -> Column:
-            negative = -_rounded(carried(sums, -1)["digits"])
-            return F.when(up["carry"] >= 0, _rounded(up["digits"])).otherwise(negative)
+    The five highest digits are taken as one decimal of 81 bits or more, with a last bit
+    for whether anything is left below; its conversion to a double rounds correctly.
+    """
+    kind = "struct<number:decimal(38,0),taken:int,place:int,rest:boolean>"
 
-        return _let(carried(sums, 1), signed)
+    def state(number: str, taken: str, place: str, rest: str) -> str:
+        return f"cast(named_struct('number', {number}, 'taken', {taken}, 'place', {place}, 'rest', {rest}) AS {kind})"
 
-    return F.when(F.size(entries) > 0, _let(sums, made))
+    taken = state(f"s.number * {_BASE} + d.digit", "s.taken + 1", "d.place", "s.rest")
+    left = state("s.number", "s.taken", "s.place", "s.rest OR d.digit <> 0")
+    power = f"({_BITS} * s.place + {_LEAST - 1})"
+    return (
+        f"aggregate(reverse({digits}), {state('0', '0', '0', 'false')}, (s, d) ->"
+        f" CASE WHEN s.taken = 0 AND d.digit = 0 THEN s WHEN s.taken < 5 THEN {taken} ELSE {left} END,"
+        f" s -> cast(s.number * 2 + IF(s.rest, 1, 0) AS double)"
+        f" * pow(2D, floor({power} / 2)) * pow(2D, {power} - floor({power} / 2)))"
+    )
 
 
-def _rounded(digits: Column) -> Column:
-    """The double nearest to a number given by its digits, lowest first.
+def exact_total(entries: str) -> str:
+    """The sum, rounded once, of (bin, digits) entries, digits being sums of ``unit_digits``.
 
-    The five highest digits are taken as one decimal of 81 bits or more, with a last bit
-    for whether anything is left below; its conversion to a double rounds correctly.
+    NULL without entries.
     """
-    kind = "struct<number:decimal(38,0),taken:int,place:int,rest:boolean>"
-    start = F.struct(
-        F.lit(0).alias("number"), F.lit(0).alias("taken"), F.lit(0).alias("place"), F.lit(False).alias("rest")
-    ).cast(kind)
-
-    def step(state: Column, own: Column) -> Column:
-        taken = F.struct(
-            (state["number"] * _BASE + own["digit"]).alias("number"),
-            (state["taken"] + 1).alias("taken"),
-            own["place"].alias("place"),
-            state["rest"].alias("rest"),
-        ).cast(kind)
-        left = F.struct(
-            state["number"].alias("number"),
-            state["taken"].alias("taken"),
-            state["place"].alias("place"),
-            (state["rest"] | (own["digit"] != 0)).alias("rest"),
-        ).cast(kind)
-        leading = (state["taken"] == 0) & (own["digit"] == 0)
-        return F.when(leading, state).when(state["taken"] < 5, taken).otherwise(left)
-
-    def finish(state: Column) -> Column:
-        number = (state["number"] * 2 + F.when(state["rest"], 1).otherwise(0)).cast("double")
-        power = state["place"] * _BITS + (_LEAST - 1)
-        half = F.floor(power / 2)
-        return number * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
-
-    return F.aggregate(F.reverse(digits), start, step, finish)
+    bins = f"transform({entries}, e -> e.bin)"
+    # room for the highest digit and for what its sum carries over
+    places = f"sequence(array_min({bins}), array_max({bins}) + 7)"
+    at = f"aggregate({entries}, 0L, (t, e) -> t + coalesce(get(e.digits, p - e.bin), 0L))"
+    sums = f"transform({places}, p -> named_struct('place', p, 'digit', {at}))"
+    negative = f"-{_rounded('(' + _carried('sums', -1) + ').digits')}"
+    signed = f"IF(up.carry >= 0, {_rounded('up.digits')}, {negative})"
+    total = _let("sums", sums, _let("up", _carried("sums", 1), signed))
+    return f"CASE WHEN size({entries}) > 0 THEN {total} END"

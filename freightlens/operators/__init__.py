@@ -4,7 +4,7 @@ from freightlens.operators.events import next_event_after, transition_events
 from freightlens.operators.exact import Mean, Rows, exact_aggregate, exact_deviation, mean, share
 from freightlens.operators.features import feature_set
 from freightlens.operators.ntile import exact_ntile
-from freightlens.operators.order_stats import group_quantiles, locate_ranks
+from freightlens.operators.order_stats import group_quantiles
 from freightlens.operators.outliers import (
     excursion_association,
     iqr_outliers,
@@ -19,6 +19,7 @@ from freightlens.operators.profiles import (
     share_where,
 )
 from freightlens.operators.quality import quality_profile
+from freightlens.operators.row_search import rows_at_ranks
 from freightlens.operators.ranking import capacity_windows, top_ranked
 from freightlens.operators.timeseries import lag_features, rolling_rows_mean, seasonal_forecast
 
@@ -39,7 +40,6 @@ __all__ = [
     "label_rank",
     "lag_features",
     "lead_corr",
-    "locate_ranks",
     "mean",
     "mean_of_period_means",
     "next_event_after",
@@ -48,6 +48,7 @@ __all__ = [
     "period_union",
     "quality_profile",
     "rolling_rows_mean",
+    "rows_at_ranks",
     "seasonal_forecast",
     "share",
     "share_where",

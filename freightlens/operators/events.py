@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightlens.operators.order_stats import range_cuts, range_number
+from freightlens.operators.order_stats import range_cuts, with_range_number
 from freightlens.sources.scratch import stored
 
 
@@ -33,7 +33,7 @@ def transition_events(
     parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = range_cuts(series, "at", "tie", parts)
     compared = (
-        series.withColumn("part", range_number(series, "at", "tie", cuts))
+        with_range_number(series, "part", "at", "tie", cuts)
         .withColumns(
             {
                 "prev_state": F.lag("state").over(inside),

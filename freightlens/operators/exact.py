@@ -54,44 +54,40 @@ def exact_aggregate(
     for an empty input.
     """
     means = {f"m{k}": m.of.cast("double") for k, m in enumerate(measures.values()) if isinstance(m, Mean)}
-    places = {name: f"m{k}" for k, name in enumerate(measures)}
     own = [f"k{k}" for k in range(len(keys))]
-    rows = df.select(*(key.alias(k) for k, key in zip(own, keys.values())), *(v.alias(m) for m, v in means.items()))
-    rows = rows.withColumns({f"{m}_finite": finite(F.col(m)) for m in means})
-    rows = rows.withColumns({f"{m}_bin": exponent_bin(F.col(f"{m}_finite")) for m in means})
-    rows = rows.withColumns({f"{m}_units": units(F.col(f"{m}_finite"), F.col(f"{m}_bin")) for m in means})
-    cells = rows.groupBy(*own, *(f"{m}_bin" for m in means)).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count(m).alias(f"{m}_n") for m in means),
-        *(F.sum(F.when(F.col(f"{m}_finite").isNull(), F.col(m))).alias(f"{m}_odd") for m in means),
-        *(
-            F.sum(digit).alias(f"{m}_{place}")
-            for m in means
-            for place, digit in enumerate(unit_digits(F.col(f"{m}_units")))
-        ),
+    rows = (
+        df.select(*(key.alias(k) for k, key in zip(own, keys.values())), *(v.alias(m) for m, v in means.items()))
+        .selectExpr("*", *(f"{finite(m)} AS {m}_finite" for m in means))
+        .selectExpr("*", *(f"{exponent_bin(f'{m}_finite')} AS {m}_bin" for m in means))
+        .selectExpr("*", *(f"{units(f'{m}_finite', f'{m}_bin')} AS {m}_units" for m in means))
     )
-
-    def entry(m: str) -> Column:
-        digits = F.array(*(F.col(f"{m}_{d}") for d in range(DIGITS)))
-        made = F.struct(F.col(f"{m}_bin").alias("bin"), digits.alias("digits"))
-        return F.when(F.col(f"{m}_bin").isNotNull(), made)
-
-    groups = cells.groupBy(*own).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        *(F.sum(f"{m}_n").alias(f"{m}_n") for m in means),
-        *(F.sum(f"{m}_odd").alias(f"{m}_odd") for m in means),
-        *(F.collect_list(entry(m)).alias(m) for m in means),
-    )
-
-    def result(name: str) -> Column:
-        m = places[name]
+    partial = ["count(1) AS n"]
+    merged = ["coalesce(sum(n), 0L) AS n"]
+    for m in means:
+        digits = [f"sum({digit})" for digit in unit_digits(f"{m}_units")]
+        entry = f"named_struct('bin', {m}_bin, 'digits', {m}_digits)"
+        partial += [
+            f"count({m}) AS {m}_n",
+            f"sum(IF({m}_finite IS NULL, {m}, NULL)) AS {m}_odd",
+            f"array({', '.join(digits)}) AS {m}_digits",
+        ]
+        merged += [
+            f"sum({m}_n) AS {m}_n",
+            f"sum({m}_odd) AS {m}_odd",
+            f"collect_list(IF({m}_bin IS NOT NULL, {entry}, NULL)) AS {m}",
+        ]
+    cells = rows.groupBy(*own, *(f"{m}_bin" for m in means)).agg(*map(F.expr, partial))
+    groups = cells.groupBy(*own).agg(*map(F.expr, merged))
+
+    def result(at: int, name: str) -> Column:
+        m = f"m{at}"
         if m not in means:
             return F.col("n").alias(name)
-        total = F.coalesce(F.col(f"{m}_odd"), exact_total(F.col(m)))
-        return F.try_divide(total, F.col(f"{m}_n")).alias(name)
+        return F.expr(f"try_divide(coalesce({m}_odd, {exact_total(m)}), {m}_n)").alias(name)
 
     return groups.select(
-        *(F.col(k).alias(name) for k, name in zip(own, keys)), *(result(name) for name in measures)
+        *(F.col(k).alias(name) for k, name in zip(own, keys)),
+        *(result(at, name) for at, name in enumerate(measures)),
     )
 
 

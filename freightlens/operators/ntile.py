@@ -2,68 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.operators import order_stats
+from freightlens.operators.row_search import literals, rows_at_ranks
 
 
 def exact_ntile(df: DataFrame, name: str, tiles: int, key: str, tie_break: str) -> DataFrame:
     """Add the NTILE number of each row in (key, tie_break) order, NULL keys first.
 
-    ``tie_break`` must be unique. The table itself is not shuffled: a tile
-    number follows from comparing a row with the last row of each earlier tile,
-    and only those ``tiles - 1`` cut rows are searched for: first the key at each
-    cut, then, inside a run of equal keys, the tie-break. The search runs when this is
-    called and reads the input several times, so pass a stored table rather than an
-    expensive join.
+    ``tie_break`` must be unique. The table itself is not shuffled: a tile number follows
+    from comparing a row with the last row of each earlier tile, and only those
+    ``tiles - 1`` rows are searched for. The search runs when this is called and
+    reads the input several times, so pass a stored table rather than an expensive join.
     """
-    cuts = _cuts(df, tiles, key, tie_break) if tiles > 1 else []
+    order = [key, tie_break]
+
+    def ends(count: int) -> dict[str, int]:
+        """The rank of the last row of each tile but the last."""
+        size, more = divmod(count, tiles)
+        return {str(t): min(size * t + min(more, t), count) for t in range(1, tiles)}
+
+    cuts = list(dict.fromkeys(rows_at_ranks(df, order, ends).values())) if tiles > 1 else []
+    row = F.struct(*(F.col(c) for c in order))
     tile = F.lit(len(cuts) + 1)
     for number, cut in reversed(list(enumerate(cuts, start=1))):
-        tile = F.when(_after(F.col(key), F.col(tie_break), cut), tile).otherwise(number)
+        tile = F.when(row <= literals(df, order, cut), number).otherwise(tile)
     return df.withColumn(name, tile)
-
-
-def _cuts(df: DataFrame, tiles: int, key: str, tie_break: str) -> list[Row]:
-    """Key and tie-break of the last row of each tile but the last."""
-
-    def end(n: Column, tile: int) -> Column:
-        """The last row of a tile; tiles that would be empty share the last row."""
-        size = F.floor(n / tiles)
-        return F.least(n, size * tile + F.least(n - size * tiles, F.lit(tile)))
-
-    found = order_stats.locate_ranks(
-        df, key, lambda n: {str(t): end(n, t) for t in range(1, tiles)}
-    )
-    runs = sorted({r["rank"]: r for r in found}.values(), key=lambda r: r["rank"])
-    ties = _ties_at(df, key, tie_break, [r for r in runs if r["rank"] < r["before"] + r["ties"]])
-    return [Row(key=r["value"], tie=ties.get(r["rank"])) for r in runs]
-
-
-def _ties_at(df: DataFrame, key: str, tie_break: str, split: list[Row]) -> dict[int, object]:
-    """The tie-break at each rank that falls inside a run of equal keys."""
-    if not split:
-        return {}
-
-    def in_run(end: Row) -> Column:
-        return F.col(key).eqNullSafe(F.lit(end["value"]))
-
-    found = order_stats.locate_ranks(
-        df.filter(reduce(Column.__or__, map(in_run, split))),
-        tie_break,
-        lambda _: {str(r["rank"]): F.when(in_run(r), r["rank"] - r["before"]) for r in split},
-        [key],
-        few=True,  # no more runs than tiles
-    )
-    return {int(r["slot"]): r["value"] for r in found}
-
-
-def _after(key: Column, tie: Column, cut: Row) -> Column:
-    """Whether a row comes after the cut; never NULL."""
-    larger = key.isNotNull() if cut.key is None else F.coalesce(key > F.lit(cut.key), F.lit(False))
-    if cut.tie is None:
-        return larger
-    return larger | (key.eqNullSafe(F.lit(cut.key)) & (tie > F.lit(cut.tie)))

@@ -1,21 +1,16 @@
-"""Exact order statistics without sorting a column or a group in one task.
-
-One way at every size: a quantile sketch tells between which values a wanted rank lies,
-rows outside these brackets collapse to one count per gap, and the rank is counted out
-among the few values inside. Brackets of large inputs are narrowed by further sketches
-of the rows inside them, each some three hundred times smaller, until they hold few values.
-"""
+"""Exact quantiles per group, and cuts of a long order into ranges."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightlens.operators.row_search import rows_at_ranks
 from freightlens.sources.scratch import stored
 
 RANK_RULES: dict[str, Callable[[Column, Decimal], Column]] = {
@@ -24,19 +19,19 @@ RANK_RULES: dict[str, Callable[[Column, Decimal], Column]] = {
     # lower neighbour of the interpolated position
     "floor": lambda n, p: F.floor((n - 1) * F.lit(p)) + 1,
 }
+# The same for a known number of rows.
+RANKS_AMONG: dict[str, Callable[[int, Decimal], int]] = {
+    "ceil": lambda n, p: int((n * p).to_integral_value(ROUND_CEILING)),
+    "floor": lambda n, p: int(((n - 1) * p).to_integral_value(ROUND_FLOOR)) + 1,
+}
 
-# Quantile sketch: its size, the steps of the grid read from it, and the steps a rank
-# may be off. Ranks that were missed all the same are looked for again with more steps.
+# Size of the sketch that ranges are cut by.
 SKETCH_SIZE = 4000
-GRID_STEPS = 2000
-GRID_MARGIN = 2
-# Values inside the brackets of one group that are counted out together.
+# Leading bits of a value that one round of counting tells apart, and rows of a group
+# that are counted value by value.
+ROUND_BITS = 20
 CELLS = 50_000
 
-Ranks = Mapping[str, Column]
-
-_SLOT = "struct<slot:string,rank:bigint,from:double,to:double>"
-
 
 def ordinal(value: Column, kind: T.DataType) -> Column:
     """A double that never decreases as the value grows; NULL for NULL."""
@@ -65,249 +60,6 @@ def quantile_grid(v: Column, steps: int) -> Column:
     return F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.expr(f"array({fractions})")))
 
 
-def locate_ranks(
-    df: DataFrame,
-    value: str,
-    wanted: Callable[[Column], Ranks],
-    group_by: Sequence[str] = (),
-    few: bool = False,
-) -> DataFrame | list[Row]:
-    """Find the values that hold given ranks in each group, NULLs ranked first.
-
-    ``wanted`` turns the group's row count into slot -> rank; a NULL rank is not looked
-    for. The result has one row per found slot: the group columns, ``slot``, ``rank``,
-    ``value``, ``before`` (rows with a smaller value) and ``ties`` (rows with this value).
-
-    Runs jobs when called: one per sketch and one that counts, each a pass over ``df``.
-    Without groups, or if the caller vouches for ``few`` of them, rows are returned as a
-    list and nothing is stored; otherwise they come as a stored table.
-    """
-    groups = list(group_by)
-    few = few or not groups
-    margin = GRID_MARGIN
-    while True:
-        state = _narrowed(df, value, groups, wanted, margin, few)
-        found = _count_out(df, value, groups, state)
-        if few:
-            rows = found.collect()
-            if all(r["exact"] for r in rows):
-                return rows
-        else:
-            kept = stored(found, "located")
-            if kept.filter(~F.col("exact")).isEmpty():
-                return kept
-        margin = 8 * margin + 1  # a wider bracket; in the end it is the whole range
-
-
-def _narrowed(
-    df: DataFrame,
-    value: str,
-    groups: list[str],
-    wanted: Callable[[Column], Ranks],
-    margin: int,
-    few: bool,
-) -> DataFrame | list:
-    """Per group, ``near``: an array of slots with their rank and bracket.
-
-    A NULL bound leaves that side open. Ranks that are not looked for or fall among the
-    NULLs have no slot or open brackets below the least value.
-    """
-    v = ordinal(F.col(value), df.schema[value].dataType)
-    ranks = wanted(F.col("n"))
-    step = GRID_STEPS
-
-    def bracket(grid: Column, rank: Column, present: Column) -> tuple[Column, Column]:
-        at = F.try_divide(rank * step, present)
-
-        def bound(index: Column) -> Column:
-            return F.when(index >= 0, F.try_element_at(grid, index.cast("int") + 1))
-
-        return bound(F.floor(at) - margin), bound(F.ceil(at) + margin)
-
-    def slot(name: str, rank: Column, lower: Column, upper: Column) -> Column:
-        made = F.struct(
-            F.lit(name).alias("slot"),
-            rank.cast("bigint").alias("rank"),
-            lower.alias("from"),
-            upper.alias("to"),
-        )
-        return F.when(rank.isNotNull(), made)
-
-    first = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(v).alias("present"),
-        F.count_if(F.isnan(v)).alias("nan"),
-        quantile_grid(v, step).alias("grid"),
-    )
-    slots = []
-    for name, rank in ranks.items():
-        among = rank - (F.col("n") - F.col("present"))
-        lower, upper = bracket(F.col("grid"), among, F.col("present") - F.col("nan"))
-        # among the NULLs nothing needs to be told apart
-        lowest = F.lit(float("-inf"))
-        slots.append(
-            slot(name, rank, F.when(among > 0, lower).otherwise(lowest), F.when(among > 0, upper).otherwise(lowest))
-        )
-    near = F.filter(F.array(*slots), lambda s: s.isNotNull()).cast(f"array<{_SLOT}>")
-    state = _kept(first.select(*(F.col(g).alias(f"_{g}") for g in groups), "n", near.alias("near")), few)
-    share = (2 * margin + 2) / step
-    most = _largest(state)
-    rows = most * share
-    while rows * len(ranks) > CELLS and share < 0.5:
-        state = _kept(_narrow_again(df, v, groups, state, list(ranks), bracket), few)
-        rows *= share
-    return state
-
-
-def _kept(state: DataFrame, few: bool) -> DataFrame | list:
-    return [state.collect(), state.schema] if few else stored(state, "brackets")
-
-
-def _largest(state: DataFrame | list) -> int:
-    if isinstance(state, list):
-        return max((r["n"] for r in state[0]), default=0)
-    return state.agg(F.max("n")).first()[0] or 0
-
-
-def _with_brackets(df: DataFrame, groups: list[str], state: DataFrame | list) -> DataFrame:
-    """The rows of ``df`` with their group's ``near`` and ``n``."""
-    if isinstance(state, list):
-        rows, schema = state
-        if not rows:
-            return df.limit(0).withColumns(
-                {"near": F.lit(None).cast(f"array<{_SLOT}>"), "n": F.lit(0).cast("bigint")}
-            )
-        if not groups:
-            row = rows[0]
-            near = F.array(
-                *(
-                    F.struct(
-                        F.lit(s["slot"]).alias("slot"),
-                        F.lit(s["rank"]).cast("bigint").alias("rank"),
-                        F.lit(s["from"]).cast("double").alias("from"),
-                        F.lit(s["to"]).cast("double").alias("to"),
-                    )
-                    for s in row["near"]
-                )
-            ).cast(f"array<{_SLOT}>")
-            return df.withColumns({"near": near, "n": F.lit(row["n"]).cast("bigint")})
-        # as many rows as the caller has groups, which are few
-        state = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    same = reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups))
-    return df.join(state, same)
-
-
-def _named(name: str) -> Callable[[Column], Column]:
-    return lambda slot: slot["slot"] == name
-
-
-def _narrow_again(
-    df: DataFrame,
-    v: Column,
-    groups: list[str],
-    state: DataFrame | list,
-    names: list[str],
-    bracket: Callable[[Column, Column, Column], tuple[Column, Column]],
-) -> DataFrame:
-    """Sketch the rows inside each bracket and bracket the rank among them."""
-    located = _with_brackets(df.withColumn("_v", v), groups, state)
-    measures: list[Column] = [F.first("n").alias("n"), F.first("near").alias("near")]
-    for at, name in enumerate(names):
-        own = F.get(F.filter("near", _named(name)), 0)
-        above = F.coalesce(F.col("_v") >= own["from"], F.lit(True))
-        inside = F.col("_v").isNotNull() & above & F.coalesce(F.col("_v") <= own["to"], F.lit(True))
-        measures += [
-            F.count_if(F.col("_v").isNull() | ~above).alias(f"below{at}"),
-            F.count_if(inside & ~F.isnan("_v")).alias(f"inside{at}"),
-            quantile_grid(F.when(inside, F.col("_v")), GRID_STEPS).alias(f"grid{at}"),
-        ]
-    measured = located.groupBy(*groups).agg(*measures)
-
-    def narrowed(slot: Column) -> Column:
-        out = slot
-        for at, name in enumerate(names):
-            lower, upper = bracket(
-                F.col(f"grid{at}"), slot["rank"] - F.col(f"below{at}"), F.col(f"inside{at}")
-            )
-            closer = F.struct(
-                slot["slot"].alias("slot"),
-                slot["rank"].alias("rank"),
-                F.coalesce(lower, slot["from"]).alias("from"),
-                F.coalesce(upper, slot["to"]).alias("to"),
-            )
-            out = F.when((slot["slot"] == name) & F.col(f"grid{at}").isNotNull(), closer).otherwise(out)
-        return out
-
-    return measured.select(
-        *(F.col(g).alias(f"_{g}") for g in groups),
-        "n",
-        F.transform("near", narrowed).cast(f"array<{_SLOT}>").alias("near"),
-    )
-
-
-def count_around(df: DataFrame, value: str, groups: list[str], state: DataFrame | list) -> DataFrame:
-    """Counts per value inside the brackets and one count for each gap between.
-
-    Each cell covers ``low`` .. ``high`` and cells do not overlap.
-    """
-    v = ordinal(F.col(value), df.schema[value].dataType)
-    located = _with_brackets(df, groups, state).withColumn("_v", v)
-    inside = F.exists(
-        "near",
-        lambda s: F.coalesce(F.col("_v") >= s["from"], F.lit(True))
-        & F.coalesce(F.col("_v") <= s["to"], F.lit(True)),
-    )
-    passed = F.size(F.filter("near", lambda s: F.coalesce(F.col("_v") > s["to"], F.lit(False))))
-    return located.groupBy(
-        *groups,
-        F.when(F.col("_v").isNull(), -1).otherwise(passed).alias("gap"),
-        F.when(inside & F.col("_v").isNotNull(), F.col(value)).alias("kept"),
-    ).agg(
-        F.count(F.lit(1)).alias("ties"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.first("near").alias("near"),
-    )
-
-
-def _count_out(
-    df: DataFrame, value: str, groups: list[str], state: DataFrame | list
-) -> DataFrame:
-    """Walk each group's few cells in order and keep those that hold a wanted rank."""
-    kind = df.schema[value].dataType.simpleString()
-    cells = count_around(df, value, groups, state)
-    walked = cells.groupBy(*groups).agg(
-        F.array_sort(F.collect_list(F.struct("low", "high", "ties"))).alias("cells"),
-        F.first("near").alias("near"),
-    )
-    found = f"array<struct<slot:string,rank:bigint,value:{kind},exact:boolean,before:bigint,ties:bigint>>"
-
-    def step(state: Column, cell: Column) -> Column:
-        held = F.filter(
-            "near", lambda s: (s["rank"] > state["so_far"]) & (s["rank"] <= state["so_far"] + cell["ties"])
-        )
-        hits = F.transform(
-            held,
-            lambda s: F.struct(
-                s["slot"].alias("slot"),
-                s["rank"].alias("rank"),
-                cell["low"].alias("value"),
-                cell["low"].eqNullSafe(cell["high"]).alias("exact"),
-                state["so_far"].alias("before"),
-                cell["ties"].alias("ties"),
-            ),
-        )
-        return F.struct(
-            (state["so_far"] + cell["ties"]).alias("so_far"),
-            F.concat(state["found"], hits).cast(found).alias("found"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("so_far"), F.array().cast(found).alias("found"))
-    return walked.select(
-        *groups, F.inline(F.aggregate("cells", start, step, lambda s: s["found"]))
-    )
-
-
 def range_cuts(df: DataFrame, key: str, tie_break: str, parts: int) -> list[tuple[float, float | None]]:
     """Cuts of (key, tie-break) order into about ``parts`` even ranges, as ordinals.
 
@@ -336,24 +88,111 @@ def range_cuts(df: DataFrame, key: str, tie_break: str, parts: int) -> list[tupl
     return sorted(set(cuts), key=lambda c: (c[0], c[1] is None, c[1] or 0.0))
 
 
-def range_number(df: DataFrame, key: str, tie_break: str, cuts: list[tuple[float, float | None]]) -> Column:
-    """How many cuts lie before a row; never decreases in (key, tie-break) order, NULLs first."""
+def with_range_number(
+    df: DataFrame, name: str, key: str, tie_break: str, cuts: list[tuple[float, float | None]]
+) -> DataFrame:
+    """Add how many cuts lie before a row; never decreases in (key, tie-break) order, NULLs first.
+
+    A binary search: each step is a column of its own that looks up one cut, so a row is
+    compared with as many cuts as their number has binary digits.
+    """
+
+    def constants(values: Sequence[float]) -> Column:
+        return F.expr("array(" + ", ".join(f"double('{v!r}')" for v in values) + ")")
+
     if not cuts:
-        return F.lit(0)
-    k = ordinal(F.col(key), df.schema[key].dataType)
-    t = ordinal(F.col(tie_break), df.schema[tie_break].dataType)
-    bounds = F.array(
+        return df.withColumn(name, F.lit(0))
+    keys = constants([float(k) for k, _ in cuts])
+    # a cut without a tie-break comes after every row of its key
+    ties = constants([float("inf") if t is None else float(t) for _, t in cuts])
+    found = df.withColumns(
+        {
+            "_key": ordinal(F.col(key), df.schema[key].dataType),
+            "_tie": ordinal(F.col(tie_break), df.schema[tie_break].dataType),
+            name: F.lit(0),
+        }
+    )
+    step = 1 << (len(cuts).bit_length() - 1)
+    while step:
+        at = F.col(name) + (step - 1)
+        cut = F.get(keys, at)  # NULL beyond the last
+        after = (F.col("_key") > cut) | ((F.col("_key") == cut) & (F.col("_tie") > F.get(ties, at)))
+        found = found.withColumn(name, F.when(after, F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return found.drop("_key", "_tie")
+
+
+def ordered_code(value: Column) -> Column:
+    """A long that orders like a double: its exponent, then its fraction; NULL least, NaN most."""
+    size = F.abs(value)
+    guess = F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(-1022))
+    half = F.floor(guess / 2)
+    scaled = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), guess - half)
+    # next to a power of two the logarithm may be off by one
+    power = F.when(scaled >= 2, guess + 1).when((scaled < 1) & (guess > -1022), guess - 1).otherwise(guess)
+    fraction = F.when(scaled >= 2, scaled / 2).when((scaled < 1) & (guess > -1022), scaled * 2).otherwise(scaled)
+    code = F.shiftleft((power + 1022).cast("long"), 52) + (fraction * float(1 << 52)).cast("long")
+    infinite = F.lit(2047 << 52)
+    return (
+        F.when(value.isNull(), F.lit(-(1 << 63)))
+        .when(F.isnan(value), infinite + 1)
+        .when(size == float("inf"), F.when(value > 0, infinite).otherwise(-infinite))
+        .otherwise(F.when(value < 0, -code).otherwise(code))
+    )
+
+
+def _same(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+
+
+def _quantiles_of_groups(
+    df: DataFrame, value: str, ranks: Callable[[Column], Mapping[str, Column]], groups: list[str]
+) -> DataFrame:
+    """(groups, slot, value) at each rank of each group.
+
+    Rows are counted by group and leading bits of the value, which the map side sums up, and
+    each rank is followed into the cell that holds it, with more bits each round, until
+    no such cell has more than ``CELLS`` rows. Their values are then counted one by one. A group's
+    state is one row for each rank, and one task holds no more of a group than its cells.
+    """
+    code = ordered_code(ordinal(F.col(value), df.schema[value].dataType))
+    rows = df.select(*groups, F.col(value).alias("value"), code.alias("code"))
+    own = [f"_{g}" for g in groups]
+
+    def held(cells: DataFrame, by: list[str]) -> DataFrame:
+        """The cells that hold a rank, and the rank among their rows."""
+        before = F.sum("rows").over(Window.partitionBy(*by).orderBy("cell")) - F.col("rows")
+        inside = (F.col("rank") > 0) & (F.col("rank") <= F.col("rows"))
+        return cells.withColumn("rank", F.col("rank") - before).filter(inside)
+
+    def cell(bits: int) -> Column:
+        return F.shiftright("code", 64 - bits)
+
+    bits = ROUND_BITS
+    counted = rows.groupBy(*groups, cell(bits).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = counted.toDF(*own, "cell", "rows")
+    size = F.sum("rows").over(Window.partitionBy(*own))
+    slots = F.array(
         *(
-            F.struct(F.lit(a).alias("k"), F.lit(b).cast("double").alias("t"))
-            for a, b in cuts
+            F.struct(F.lit(name).alias("slot"), rank.cast("long").alias("rank"))
+            for name, rank in ranks(F.col("n")).items()
         )
     )
-    # a cut without a tie-break comes after every row of its key
-    before = F.filter(
-        bounds,
-        lambda b: F.coalesce((k > b["k"]) | ((k == b["k"]) & (t > b["t"])), F.lit(False)),
-    )
-    return F.size(before)
+    before = F.sum("rows").over(Window.partitionBy(*own).orderBy("cell")) - F.col("rows")
+    among = counted.withColumns({"n": size, "before": before}).withColumn("at", F.explode(slots))
+    state = among.select(*own, "cell", "rows", "at.slot", (F.col("at.rank") - F.col("before")).alias("rank"))
+    state = stored(state.filter((F.col("rank") > 0) & (F.col("rank") <= F.col("rows"))), "rank-cells")
+
+    while bits < 64 and not state.filter(F.col("rows") > CELLS).isEmpty():
+        more = min(bits + ROUND_BITS, 64)
+        met = rows.join(state.withColumnRenamed("cell", "_cell").drop("rows"), _same(groups) & (cell(bits) == F.col("_cell")))
+        finer = met.groupBy(*own, "slot", "rank", cell(more).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+        state, bits = stored(held(finer, [*own, "slot"]), "rank-cells"), more
+
+    met = rows.join(state.select(*own, "slot", "rank", F.col("cell").alias("_cell")), _same(groups) & (cell(bits) == F.col("_cell")))
+    values = met.groupBy(*own, "slot", "rank", F.col("value").alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    found = held(values, [*own, "slot"])
+    return found.select(*(F.col(o).alias(g) for o, g in zip(own, groups)), "slot", F.col("cell").alias("value"))
 
 
 def group_quantiles(
@@ -368,22 +207,22 @@ def group_quantiles(
     Fractions are decimal text, so ranks such as ``ceil(30 * 0.1)`` are exact.
     The two rank rules are named in ``RANK_RULES``; they differ at 0.75 for some
     group sizes. NULLs take part and rank first. An empty input gives no rows. The ranks
-    are located when this is called; see ``locate_ranks``.
+    are searched for when this is called; with groups, their cells are stored.
     """
-    rank = RANK_RULES[rule]
-    found = locate_ranks(
-        df,
-        value,
-        lambda n: {name: rank(n, Decimal(p)) for name, p in fractions.items()},
-        group_by,
-    )
-    if isinstance(found, list):
+    groups = list(group_by)
+    shares = {name: Decimal(p) for name, p in fractions.items()}
+    if not groups:
         kind = df.schema[value].dataType
         schema = T.StructType([T.StructField(name, kind) for name in fractions])
-        held = {r["slot"]: r["value"] for r in found}
-        rows = [tuple(held.get(name) for name in fractions)] if found else []
+        ranks = RANKS_AMONG[rule]
+        found = rows_at_ranks(df, [value], lambda n: {name: ranks(n, p) for name, p in shares.items()})
+        rows = [tuple(found[name][0] for name in fractions)] if found else []
         return df.sparkSession.createDataFrame(rows, schema)
+    rank = RANK_RULES[rule]
+    found = _quantiles_of_groups(
+        df, value, lambda n: {name: rank(n, p) for name, p in shares.items()}, groups
+    )
     columns = [
         F.max(F.when(F.col("slot") == name, F.col("value"))).alias(name) for name in fractions
     ]
-    return found.groupBy(*group_by).agg(*columns)
+    return found.groupBy(*groups).agg(*columns)

@@ -1,4 +1,4 @@
-"""Quantiles and NTILE against plain Python, with one and with several rounds of sketches."""
+"""Quantiles and NTILE against plain Python, with one and with several rounds of searching."""
 
 from __future__ import annotations
 
@@ -8,27 +8,20 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freightlens.operators import exact_ntile, group_quantiles, order_stats
+from freightlens.operators import exact_ntile, group_quantiles, order_stats, row_search
 
 
-@pytest.fixture(params=["one round", "several rounds", "stored", "coarse sketch"])
+@pytest.fixture(params=["one round", "several rounds", "coarse sample"])
 def path(request, monkeypatch):
-    """As usual; narrowing on and on; groups that are too many to collect; missed ranks."""
+    """As usual; narrowing on and on; brackets that are too narrow, so that ranks are missed."""
     if request.param == "several rounds":
         monkeypatch.setattr(order_stats, "CELLS", 2)
-    if request.param == "stored":
-        whole = order_stats.locate_ranks
-
-        def located(df, value, wanted, group_by=(), few=False):
-            if not group_by:
-                df, group_by = df.withColumn("_all", F.lit(1)), ["_all"]
-            found = whole(df, value, wanted, group_by)
-            return found.collect() if few or list(group_by) == ["_all"] else found
-
-        monkeypatch.setattr(order_stats, "locate_ranks", located)
-    if request.param == "coarse sketch":
-        monkeypatch.setattr(order_stats, "SKETCH_SIZE", 8)
-        monkeypatch.setattr(order_stats, "GRID_MARGIN", 0)
+        monkeypatch.setattr(row_search, "CELLS", 40)
+        monkeypatch.setattr(row_search, "SAMPLE", 200)
+    if request.param == "coarse sample":
+        monkeypatch.setattr(row_search, "CELLS", 40)
+        monkeypatch.setattr(row_search, "SAMPLE", 30)
+        monkeypatch.setattr(row_search, "MARGIN", 0.05)
     return request.param
 
 
@@ -85,45 +78,73 @@ def test_empty_input_has_no_quantiles(spark, path):
 
 
 def test_a_missed_rank_is_looked_for_again(spark, monkeypatch):
-    """Brackets that miss every rank are widened until the answer is exact."""
-    margins = []
-    whole = order_stats._narrowed
-
-    def off(df, value, groups, wanted, margin, few):
-        margins.append(margin)
-        if margin == order_stats.GRID_MARGIN:
-            return whole(df, value, groups, lambda n: {"a": F.lit(1)}, margin, few)
-        return whole(df, value, groups, wanted, margin, few)
-
-    def wrong(df, value, groups, state):
-        rows = counted(df, value, groups, state)
-        return rows.withColumn("exact", F.lit(False)) if len(margins) == 1 else rows
-
-    counted = order_stats._count_out
-    monkeypatch.setattr(order_stats, "_narrowed", off)
-    monkeypatch.setattr(order_stats, "_count_out", wrong)
-    df = spark.range(101).select(F.col("id").cast("double").alias("x"))
-    assert tuple(group_quantiles(df, "x", FRACTIONS, "ceil").first()) == (10.0, 25.0, 50.0, 75.0)
-    assert margins == [order_stats.GRID_MARGIN, 8 * order_stats.GRID_MARGIN + 1]
-
-
-@pytest.mark.parametrize("missing", [0.0, 0.3])
-def test_sketch_brackets_the_ranks(spark, missing):
-    """Away from the ranks values collapse; at the ranks they stay exact."""
-    x = F.when(F.rand(8) >= missing, F.rand(5))
-    df = spark.range(100_000).select((F.col("id") % 2).alias("g"), x.alias("x")).persist()
-
-    def ranks(n):
-        return {p: F.ceil(n * float(p)) for p in FRACTIONS.values()}
-
-    for groups in ([], ["g"]):
-        state = order_stats._narrowed(df, "x", groups, ranks, order_stats.GRID_MARGIN, not groups)
-        cells = order_stats.count_around(df, "x", groups, state).persist()
-        assert cells.count() < 3000
-        assert cells.agg(F.sum("ties")).first()[0] == 100_000
-        found = order_stats._count_out(df, "x", groups, state)
-        assert found.count() == len(FRACTIONS) * (2 if groups else 1)
-        assert found.filter(~F.col("exact")).isEmpty()
+    """Brackets that miss a rank are widened until the answer is exact."""
+    margins, whole = [], row_search._search
+
+    def search(df, order, count, ranks, margin, sample):
+        found = whole(df, order, count, ranks, margin, sample)
+        margins.append((margin, found is None))
+        return found
+
+    monkeypatch.setattr(row_search, "_search", search)
+    monkeypatch.setattr(row_search, "MARGIN", -30.0)  # every bracket lies beside its rank
+    monkeypatch.setattr(row_search, "CELLS", 300)
+    monkeypatch.setattr(row_search, "SAMPLE", 100)
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
+    assert tuple(group_quantiles(df, "x", FRACTIONS, "ceil").first()) == (100.0, 250.0, 500.0, 750.0)
+    assert margins[0] == (-30.0, True) and margins[-1][1] is False
+
+
+def test_large_tables_need_two_passes(spark, monkeypatch):
+    """All cuts of a hundred thousand rows, also inside runs of equal keys."""
+    passes, whole = [], row_search._counted
+
+    def counted(df, order, brackets, fraction, seed):
+        zones = whole(df, order, brackets, fraction, seed)
+        passes.append(sum(zones.sample(2 * k + 1).distinct for k in range(len(brackets))))
+        return zones
+
+    monkeypatch.setattr(row_search, "_counted", counted)
+    df = spark.range(100_000).select("id", (F.col("id") * 7 % 101).cast("double").alias("k"))
+    naive = F.ntile(10).over(Window.orderBy("k", "id"))
+    tiled = exact_ntile(df, "tile", 10, "k", "id").withColumn("want", naive)
+    assert tiled.where("tile <> want").isEmpty()
+    assert len(passes) == 2 and max(passes) <= row_search.CELLS
+
+
+def test_equal_values_end_the_search(spark, monkeypatch):
+    """A value that holds most rows is not looked into, however many rows there are."""
+    monkeypatch.setattr(row_search, "CELLS", 100)
+    monkeypatch.setattr(row_search, "SAMPLE", 50)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-5).alias("x"))
+    assert row_search.rows_at_ranks(df, ["x"], lambda n: {"a": 1, "b": 9000, "c": n, "d": n + 1}) == {
+        "a": (-5,), "b": (-5,), "c": (19_998,),
+    }
+
+
+def test_codes_order_like_doubles(spark):
+    rng = random.Random(4)
+    values = [0.0, 5e-324, -5e-324, 2.0**-1022, 1.0, -1.0, 1.7e308, -1.7e308, float("inf"), -float("inf")]
+    values += [rng.choice((1, -1)) * rng.random() * 2.0 ** rng.randint(-1070, 1020) for _ in range(500)]
+    values += [f * 2.0**e for e in range(-1060, 1020, 7) for f in (1.0, 1 - 2.0**-53, 1 + 2.0**-52)]
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "x double")
+    rows = df.select("x", order_stats.ordered_code(F.col("x")).alias("c")).collect()
+    by_code = sorted(rows, key=lambda r: r.c)
+    assert by_code[0].x is None and by_code[-1].x != by_code[-1].x
+    ordered = by_code[1:-1]
+    assert [r.x for r in ordered] == sorted(values)
+    assert all((a.c == b.c) == (a.x == b.x) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_many_groups(spark):
+    """One row for each rank is kept of a group, no sketch."""
+    df = spark.range(200_000).select((F.col("id") % 10_000).alias("g"), (F.col("id") * 7919 % 100_003).cast("double").alias("x"))
+    got = group_quantiles(df, "x", {"a": "0.25", "b": "0.75"}, "ceil", ["g"])
+    place = Window.partitionBy("g").orderBy("x")
+    want = df.withColumn("r", F.row_number().over(place)).groupBy("g").agg(
+        F.max(F.when(F.col("r") == 5, F.col("x"))).alias("a"), F.max(F.when(F.col("r") == 15, F.col("x"))).alias("b")
+    )
+    assert got.count() == 10_000 and got.exceptAll(want).isEmpty()
 
 
 @pytest.mark.parametrize(
@@ -140,6 +161,8 @@ def test_other_types_rank_too(spark, path, kind, make):
     got = group_quantiles(df, "x", FRACTIONS, "ceil").first()
     want = {r["k"]: r["x"] for r in df.collect()}
     assert tuple(got) == tuple(want[k] for k in (99, 249, 499, 749))
+    grouped = group_quantiles(df.withColumn("g", F.lit("all")), "x", FRACTIONS, "ceil", ["g"]).first()
+    assert tuple(grouped)[1:] == tuple(got)
 
 
 NTILE_CASES = {

@@ -8,7 +8,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from freightlens.operators import capacity_windows, exact_ntile, order_stats, top_ranked
+from freightlens.operators import (
+    capacity_windows,
+    exact_ntile,
+    group_quantiles,
+    order_stats,
+    top_ranked,
+)
 from freightlens.plans import ANALYSES, run
 from freightlens.plans.catalog import COMPARED_COLUMNS, READ_AGAIN
 from freightlens.sources import load_shipments, stored
@@ -68,13 +74,24 @@ def test_tiles_are_assigned_without_moving_the_table(spark):
     assert "Exchange" not in text and "Window" not in text
 
 
-@pytest.mark.parametrize("groups", [[], ["g"]])
-def test_ranks_are_located_without_windows(spark, groups):
-    """Neither rows nor values of the input are ever numbered by a window."""
+def test_brackets_are_compiled_comparisons(spark, monkeypatch):
+    """A pass of the rank search has no window, no sort of rows and no interpreted lambda."""
+    seen = []
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    whole = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: seen.append(plan(df)) or whole(df))
+    exact_ntile(rows, "tile", 4, "k", "id")
+    assert seen
+    for text in seen:
+        assert "Window" not in text and "rangepartitioning" not in text and "lambda" not in text
+        below = text[text.index("HashAggregate") :]
+        assert "Sort" not in below and below.count("Exchange") == 1
+
+
+def test_cells_of_groups_are_summed_before_the_shuffle(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
-    state = order_stats._narrowed(rows, "v", groups, lambda n: {"a": F.ceil(n / 2)}, 2, not groups)
-    text = plan(order_stats._count_out(rows, "v", groups, state))
-    assert "Window" not in text and "rangepartitioning" not in text
+    text = plan(group_quantiles(rows, "v", {"a": "0.5"}, "ceil", ["g"]))
+    assert "partial_count" in text and "lambda" not in text and "rangepartitioning" not in text
 
 
 def test_windows_meet_detail_by_range_and_group(spark):
@@ -100,10 +117,10 @@ def test_state_changes_shuffle_the_detail_once(spark):
     )
     series = rows.select(F.col("t").alias("at"), F.col("id").alias("tie"))
     cuts = order_stats.range_cuts(series, "at", "tie", 16)
-    number = order_stats.range_number(series, "at", "tie", cuts)
-    sizes = [r["count"] for r in series.groupBy(number.alias("p")).count().collect()]
+    numbered = order_stats.with_range_number(series, "part", "at", "tie", cuts)
+    sizes = [r["count"] for r in numbered.groupBy("part").count().collect()]
     assert len(sizes) > 10 and max(sizes) < 4000 / 16 * 2
-    compared = series.withColumn("part", number).withColumn(
+    compared = numbered.withColumn(
         "before", F.lag("tie").over(Window.partitionBy("part").orderBy("at", "tie"))
     )
     text = plan(compared.groupBy("part", "at").agg(F.max("before")))
@@ -130,3 +147,18 @@ def test_stored_columns_are_those_the_analysis_reads(spark):
     for name, columns in READ_AGAIN.items():
         assert set(columns) <= set(facts.columns)
         ANALYSES[name](facts.select(*columns)).schema
+
+
+def test_range_lookup_grows_with_the_logarithm(spark):
+    """2,000 cuts are eleven steps, each compiled; numbers equal counting the cuts before."""
+    rows = spark.range(3000).select((F.col("id") * 37 % 1000).cast("double").alias("k"), F.col("id").alias("t"))
+    rows = rows.union(spark.createDataFrame([(None, 1), (float("nan"), 2), (float("inf"), 3)], rows.schema))
+    cuts = sorted({(float(k), t) for k in range(0, 1000, 3) for t in (5.0, 1500.0)} | {(float(k), None) for k in range(0, 1000, 2)},
+                  key=lambda c: (c[0], c[1] is None, c[1] or 0.0))
+    found = order_stats.with_range_number(rows, "n", "k", "t", cuts)
+    text = plan(found)
+    assert text.count("Project") <= 3 + len(cuts).bit_length() and "lambda" not in text
+    for r in found.collect():
+        after = [c for c in cuts if r.k is not None and (r.k != r.k or (r.k, r.t) > (c[0], float("inf") if c[1] is None else c[1]))]
+        assert r.n == len(after)
+    assert {r.n for r in order_stats.with_range_number(rows, "n", "k", "t", []).collect()} == {0}
