@@ -38,10 +38,12 @@ RANKED = [
 
 @pytest.mark.parametrize("name", RANKED)
 def test_narrowed_brackets_match_oracle(spark, monkeypatch, name):
-    """Several rounds of sketches, as on tables that are millions of times larger."""
-    from freightlens.operators import order_stats
+    """Several rounds of narrowing, as on tables that are millions of times larger."""
+    from freightlens.operators import order_stats, row_search
 
     monkeypatch.setattr(order_stats, "CELLS", 4)
+    monkeypatch.setattr(row_search, "CELLS", 400)
+    monkeypatch.setattr(row_search, "SAMPLE", 300)
     sf_dir = f"{TESTDATA}/sf0.01"
     assert compare(spark, duck(sf_dir), name, sf_dir) == []
 

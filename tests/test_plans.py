@@ -77,7 +77,7 @@ def test_tiles_are_assigned_without_moving_the_table(spark):
 def test_brackets_are_compiled_comparisons(spark, monkeypatch):
     """A pass of the rank search has no window, no sort of rows and no interpreted lambda."""
     seen = []
-    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7).alias("id"))
     whole = type(rows).toArrow
     monkeypatch.setattr(type(rows), "toArrow", lambda df: seen.append(plan(df)) or whole(df))
     exact_ntile(rows, "tile", 4, "k", "id")
