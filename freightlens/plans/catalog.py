@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freightlens.functions import rounded
 from freightlens.plans import analyses as a
-from freightlens.sources import load_shipments, stored
+from freightlens.sources import SHIPMENT_SCHEMA, load_shipments, stored
 
 ANALYSES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "q01_fuel_by_risk": a.fuel_by_risk,
@@ -67,6 +67,9 @@ READ_AGAIN: dict[str, list[str]] = {
     ],
 }
 
+# Of the others, those that read the inventory level, for which customers are joined.
+READ_INVENTORY = ("q04_daily_peak_inventory", "q23_data_quality", "q25_feature_set")
+
 # Analyses report these columns as computed. Registered queries round them, so that the
 # last bits of a differently ordered sum do not show when results are compared.
 COMPARED_DIGITS = 6
@@ -85,9 +88,15 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run one analysis over the star tables in ``sf_dir``.
 
     Analyses that read the fact several times store it, and those that locate ranks run
-    jobs, when this is called. ``sources.clear_stored`` removes what was stored.
+    jobs, when this is called. What was stored is removed by ``sources.clear_stored``, or, if
+    this is called inside ``sources.owned_tables``, by that block's handle.
     """
-    shipments = load_shipments(spark, sf_dir)
+    columns = READ_AGAIN.get(name) or [
+        c
+        for c in SHIPMENT_SCHEMA.fieldNames()
+        if name in READ_INVENTORY or c != "warehouse_inventory_level"
+    ]
+    shipments = load_shipments(spark, sf_dir, columns)
     if name in READ_AGAIN:
-        shipments = stored(shipments.select(*READ_AGAIN[name]), name)
+        shipments = stored(shipments, name)
     return rounded(ANALYSES[name](shipments), COMPARED_DIGITS, *COMPARED_COLUMNS.get(name, []))

@@ -7,10 +7,14 @@ Parquet table (``read_fact``) or be derived from star-schema tables
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightlens.sources.hot_keys import hot_keys, is_broadcast, spread_join
+
 _DOUBLE = T.DoubleType()
 _INT = T.IntegerType()
 
@@ -87,16 +91,20 @@ _FROM_STAR = {
 }
 
 
-def load_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derive the fact from the star tables in ``sf_dir``.
+def load_shipments(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Derive the fact, or the named columns of it, from the star tables in ``sf_dir``.
 
     The order-key joins come first and share one partitioning; line items are
     aggregated before they are joined, so a hot order is one row by then. The
-    customer join is last and left to adaptive execution, which splits a
-    customer that owns a large part of all orders. Line items and customers are
-    one row per key and join from the left, so either side disappears when none of its
-    columns is used; only the columns a caller selects are read.
+    customer join is last. If the customers are too many to be broadcast and their column is
+    wanted, customers who own a large part of all orders are looked for when this is called,
+    and their orders are spread over several tasks. Line items and customers are one row
+    per key and join from the left, so either side disappears when none of its columns is
+    used; only the columns a caller selects are read.
     """
+    wanted = list(columns or SHIPMENT_SCHEMA.fieldNames())
 
     def table(name: str) -> DataFrame:
         return spark.read.schema(_STAR_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -109,17 +117,14 @@ def load_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = table("customer").groupBy("c_custkey").agg(F.max("c_acctbal").alias("c_acctbal"))
     events, orders = table("events"), table("orders")
-    joined = (
-        events.join(orders, orders.o_orderkey == events.event_id)
-        .join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-        .join(customer, customer.c_custkey == orders.o_custkey, "left")
-    )
-    return joined.selectExpr(
-        *(
-            f"CAST({_FROM_STAR[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
-            for f in SHIPMENT_SCHEMA
-        )
+    joined = events.join(orders, orders.o_orderkey == events.event_id).join(
+        lines, orders.o_orderkey == lines.l_orderkey, "left"
     )
+    spread = "warehouse_inventory_level" in wanted and not is_broadcast(customer)
+    hot = hot_keys(orders, "o_custkey") if spread else []
+    joined = spread_join(joined, customer, "o_custkey", "c_custkey", hot, ["event_id"])
+    kinds = {f.name: f.dataType.simpleString() for f in SHIPMENT_SCHEMA}
+    return joined.selectExpr(*(f"CAST({_FROM_STAR[c]} AS {kinds[c]}) AS {c}" for c in wanted))
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
