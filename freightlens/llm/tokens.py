@@ -1,4 +1,9 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of words."""
+"""Token ids of whole texts by a public tokenizer file, with a cache of words.
+
+A text of Latin-1 characters only is cut into the pieces that the file's own rule splits it
+into, and a piece is merged once. Other texts are cut at blanks, and their words go
+through all of the file's steps once.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +26,25 @@ _NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MARKS = frozenset(".,!?;:")
 
+# The split rule for lower-case Latin-1: its letters, numbers and white space.
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+"
+)
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves, the other bytes for those from 256 on.
+    """
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)]
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
 
 def _splits_words(path: str) -> bool:
     """Whether the file drops white space and splits what is between into letters, digits
@@ -45,6 +69,16 @@ def _splits_words(path: str) -> bool:
     )
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids without special tokens, as little-endian integers of ``dtype``."""
 
@@ -89,18 +123,38 @@ class Encoder:
         for word, core, mark in made:
             self.cache[word] = self.cache[core] + (self.cache[mark] if mark else b"")
 
+    def _make_room(self) -> None:
+        if len(self.cache) > CACHE_WORDS:  # frequent words came first, so the core holds them
+            for word in list(self.cache)[CACHE_CORE:]:
+                del self.cache[word]
+
+    def _merged(self, piece: str) -> bytes:
+        """A piece's ids: its bytes need the merges only."""
+        if not piece.isascii() or not piece.isalpha():
+            piece = "".join([_BYTE_CHARACTERS[b] for b in piece.encode()])
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece)])
+
+    def _of_pieces(self, text: str) -> bytes:
+        pieces, cache = _PIECES.findall(text.lower()), self.cache
+        try:
+            return b"".join([cache[p] for p in pieces])
+        except KeyError:
+            self._make_room()
+            for piece in set(pieces).difference(cache):
+                cache[piece] = self._merged(piece)
+            return b"".join([cache[p] for p in pieces])
+
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._bytes([text])[0]
+        if "<|" not in text and _is_latin(text):
+            return self._of_pieces(text)
         words = _BLANKS.split(text)
         cache = self.cache
         unknown = [w for w in set(words) if w not in cache]
         if unknown:
-            if len(cache) > CACHE_WORDS:  # frequent words came first, so the core holds them
-                for word in list(cache)[CACHE_CORE:]:
-                    del cache[word]
-                unknown = [w for w in set(words) if w not in cache]
-            self._learn(unknown)
+            self._make_room()
+            self._learn([w for w in set(words) if w not in cache])
         return b"".join([cache[w] for w in words])
 
 
