@@ -28,8 +28,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
     )
     both = edges.select(ends.alias("e")).select("e.u", "e.w")
     least = both.groupBy("u").agg(F.min("w").alias("least"))
-    least = least.select("u", F.least("u", "least").alias("least"))
-    # a hot node's rows are many on one side only, which a skewed join splits
+    # a hot node's rows are many on one side only, which a skewed join splits; the other
+    # side is stored, as an aggregate would not leave the join's stage
+    least = stored(least.select("u", F.least("u", "least").alias("least")), "least")
     tied = both.join(least, "u").select(
         F.explode(F.array("u", "w")).alias("v"), F.col("least").alias("m")
     )

@@ -23,6 +23,7 @@ and the probability are null. At most ``MAX_LANGUAGES`` languages are told apart
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,8 +43,10 @@ MAX_LANGUAGES = 200
 TEMPER, HOST_STRENGTH, DOMAIN_STRENGTH = 0.1, 5.0, 20.0
 SMOOTHING = 0.5
 
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])""", re.IGNORECASE)
+_OPENED = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSED = re.compile(r"</(script|style)\s*+>", re.IGNORECASE)
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"""\blang\s*+=\s*+["']?([A-Za-z]{2,3})(?![A-Za-z])""", re.IGNORECASE)
 
 
 def trigram_buckets(text: np.ndarray) -> np.ndarray:
@@ -101,12 +104,44 @@ def text_model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def page_text(html: str) -> str:
-    return _MARKUP.sub(" ", html)
+    """The page with each script, style sheet, comment and tag replaced by a blank.
+
+    Ends are listed once and only looked up, so that markup that never ends is not searched
+    for its end again and again.
+    """
+    ends: dict[str, list[tuple[int, int]]] = {"script": [], "style": []}
+    for m in _CLOSED.finditer(html):
+        ends["style" if m.group(1).lower() == "style" else "script"].append(m.span())
+    comment_end = html.rfind("-->")
+    kept, done, at = [], 0, html.find("<")
+    while at >= 0:
+        stop, opened = -1, _OPENED.match(html, at)
+        if opened:
+            own = ends["style" if opened.group(1).lower() == "style" else "script"]
+            k = bisect_left(own, (opened.end(), 0))
+            stop = own[k][1] if k < len(own) else -1
+        elif html.startswith("<!--", at) and comment_end >= at + 4:
+            stop = html.find("-->", at + 4) + 3
+        if stop < 0:
+            stop = html.find(">", at + 1) + 1
+            if not stop:
+                break  # no tag ends any more
+        kept += [html[done:at], " "]
+        done, at = stop, html.find("<", stop)
+    return "".join([*kept, html[done:]])
 
 
 def declared_language(html: str) -> str:
-    found = _DECLARED.search(html)
-    return found.group(1).lower() if found else "und"
+    """The language named in the first ``html`` tag that names one."""
+    at = _HTML.search(html)
+    while at:
+        stop = html.find(">", at.end())
+        found = _LANG.search(html, at.end(), stop if stop >= 0 else len(html))
+        if found:
+            return found.group(1).lower()
+        # further tags before this one's end can name none either
+        at = _HTML.search(html, stop) if stop >= 0 else None
+    return "und"
 
 
 def text_evidence(pages: DataFrame, page_id: str, url: str, html: str, model: np.ndarray) -> DataFrame:
@@ -199,7 +234,8 @@ def identify_languages(
 
     fused = seen
     for key, name in (("declared", "d"), ("suffix", "s"), ("domain", "g"), ("host", "h")):
-        fused = fused.join(_sums(seen, [key], name, size), key)
+        # stored, so that the join may split a host or suffix that many pages share
+        fused = fused.join(stored(_sums(seen, [key], name, size), f"sums-{key}"), key)
     fused = fused.withColumn("domain_prior", smoothed("g", "g_n", overall, DOMAIN_STRENGTH))
     fused = fused.withColumn("prior", smoothed("h", "h_n", F.col("domain_prior"), HOST_STRENGTH))
     logs = _added(

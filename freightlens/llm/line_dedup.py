@@ -217,6 +217,8 @@ def aligned_lines(lines: DataFrame, rare: int = RARE) -> DataFrame:
     )
     once = F.col("once") & F.col("a_once")
     level = F.when(once & F.col("rare"), 2).when(once, 1).otherwise(0)
+    # stored, so that the join may split a line that very many documents hold
+    first = stored(first, "first-holders")
     matched = lines.join(first, ["code", "nth"]).where("id != a_id or own != a_own")
     pairs = matched.groupBy("id", "own", "a_id", "a_own").agg(
         F.collect_set(F.struct("pos", "stop", "nth", "a_pos", level.alias("level"), "rare")).alias("matches")

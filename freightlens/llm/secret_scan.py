@@ -40,9 +40,10 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(
-    r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)"
-)
+_URL = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?")
+_HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+")
+_SERVICE = ".amazonaws.com"
+_EDGE = re.compile(r"\b(?=[a-z0-9-])")
 _ASSIGNED_LEAST = 6
 
 
@@ -77,11 +78,30 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         for m in _TOKEN.finditer(text):
             if _random_looking(m.group()) and not np.any((starts < m.end()) & (ends > m.start())):
                 found.append(("token", m.start(), m.end()))
-    if "://" in text or ".amazonaws.com" in text:
-        found += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    if "://" in text or _SERVICE in text:
+        found += [("endpoint", a, b) for a, b in endpoints(text)]
     return found
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs up to their port, and between them host names of a service, from a word's edge on.
+
+    Runs of host characters are taken whole and looked at for the service's name, so no
+    text is read again from each of its characters.
+    """
+    urls = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+    found = list(urls)
+    if _SERVICE in text:
+        gaps = zip([0, *(b for _, b in urls)], [*(a for a, _ in urls), len(text)], strict=True)
+        for start, stop in gaps:
+            for host in _HOST.finditer(text, start, stop):
+                edge = _EDGE.search(text, host.start(), host.end())
+                last = text.rfind(_SERVICE, edge.start() + 1, host.end()) if edge else -1
+                if last >= 0:
+                    found.append((edge.start(), last + len(_SERVICE)))
+    return sorted(found)
+
+
 _SPANS = "array<struct<kind:string,first:long,last:long>>"
 
 

@@ -1,20 +1,22 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Vectors are made integer by floor(scale * x). The candidates are dealt into blocks; a
-task has one block and sorts it once in every dimension. For each query it then reads
+Vectors are made integer by floor(scale * x). The candidates are dealt into blocks, and a
+block is sorted once in every dimension. For each query a task then reads
 the lists in step from the end that the query's sign favours, scores every vector it
 meets for the first time, and keeps the k best. No vector further down can score more
 than the sum of the query's components times the current list values, so it stops when
 the kth score beats that bound. The blocks' results are merged by a limited sort for
 each query, so every exact result is found and no pair beyond k for a block is emitted.
 
-Queries are sent in packets of at most ``PACKET`` vectors (a bound of what a task holds);
-each packet meets each block once.
+Queries are sent in packets of at most ``PACKET`` vectors (a bound of what a task holds
+besides its block); the packets of a block follow it in its task, so a block is sent once.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take
 no part; only vectors of equal length are compared; a query never meets rows of its own
-id; ties go to the smaller id; rows with an equal id and different vectors count each,
-equal rows count once. Scores must fit in 64 bits. A query among fewer than k others gets them all.
+id; ties go to the smaller id; every row counts, so equal rows, and rows with an equal id
+and other vectors, each take a rank of their own. Query rows of one id share its k ranks, each
+bringing its own scores. Scores must fit in 64 bits. A query among fewer than k others
+gets them all.
 """
 
 from __future__ import annotations
@@ -48,9 +50,9 @@ def integer_vector(vector: Column, scale: int) -> Column:
 class _Block:
     """A block of candidates and its sorted lists."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # so that ties take the smaller id
-        self.ids, vectors = ids[order], vectors[order]
+        self.ids, self.copies, vectors = ids[order], copies[order], vectors[order]
         self.largest = float(np.abs(vectors).max(initial=0))
         self.vectors = vectors
         self.doubles = vectors.astype(np.float64)
@@ -106,11 +108,12 @@ def _packed(df: DataFrame, group: Column, name: str) -> DataFrame:
                 "dim": [vectors.shape[1]],
                 name: [int(part["group"].iloc[0])],
                 "ids": [part["id"].to_numpy("<i8").tobytes()],
+                "copies": [part["copies"].to_numpy("<i8").tobytes()],
                 "vectors": [vectors.tobytes()],
             }
         )
 
-    schema = f"dim int, {name} int, ids binary, vectors binary"
+    schema = f"dim int, {name} int, ids binary, copies binary, vectors binary"
     return (
         df.withColumn("group", group).groupBy("dim", "group").applyInPandas(run, schema)
     )
@@ -136,7 +139,8 @@ def top_k(
             F.col(f"`{vec_id}`").cast("long").alias("id"),
             integer_vector(F.col(f"`{vector}`"), scale).alias("v"),
         ).where("id is not null and v is not null")
-        return stored(rows.withColumn("dim", F.size("v")).distinct(), name)
+        counted = rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+        return stored(counted.withColumn("dim", F.size("v")), name)
 
     rows, asked = whole(vectors, "vectors"), whole(queries, "queries")
     blocks = max(1, -(-rows.count() // block))
@@ -144,39 +148,43 @@ def top_k(
     dealt = F.xxhash64("id", "v")
     packed = stored(_packed(rows, F.pmod(dealt, F.lit(blocks)).cast("int"), "block"), "blocks")
     sent = stored(_packed(asked, F.pmod(dealt, F.lit(packets)).cast("int"), "packet"), "packets")
-    every_packet = F.explode(F.sequence(F.lit(0), F.lit(packets - 1)))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    wanted = sent.select(
-        "dim",
-        "packet",
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("query_vectors"),
-        every_block.alias("block"),
+    # the block itself is packet -1 and comes first
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    columns = ["dim", "block", "packet", "ids", "copies", "vectors"]
+    wanted = sent.select("*", every_block).select(*columns)
+    held = packed.withColumn("packet", F.lit(-1)).select(*columns)
+    met = (
+        held.unionByName(wanted)
+        .repartition("dim", "block")
+        .sortWithinPartitions("dim", "block", "packet")
     )
-    met = packed.withColumn("packet", every_packet).join(wanted, ["dim", "block", "packet"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                dim = row["dim"]
-                own = _Block(
-                    np.frombuffer(row["ids"], "<i8"),
-                    np.frombuffer(row["vectors"], "<i8").reshape(-1, dim),
-                )
-                ids = np.frombuffer(row["query_ids"], "<i8")
-                components = np.frombuffer(row["query_vectors"], "<i8").reshape(-1, dim)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for query_id, query in zip(ids.tolist(), components, strict=True):
+                dim, at = row["dim"], (row["dim"], row["block"])
+                ids, copies = (np.frombuffer(row[c], "<i8") for c in ("ids", "copies"))
+                vectors = np.frombuffer(row["vectors"], "<i8").reshape(-1, dim)
+                if row["packet"] < 0:
+                    own, place = _Block(ids, copies, vectors), at
+                    continue
+                if place != at:
+                    continue  # no candidate of this length in the block
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for query_id, times, query in zip(ids.tolist(), copies.tolist(), vectors, strict=True):
                     places, scores = own.top(query_id, query, k)
                     out[0].append(np.full(places.size, query_id))
                     out[1].append(own.ids[places])
                     out[2].append(scores)
+                    out[3].append(np.minimum(own.copies[places] * times, k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in out],
-                    names=["query_id", "vec_id", "score"],
+                    names=["query_id", "vec_id", "score", "copies"],
                 )
 
-    near = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    near = met.mapInArrow(search, "query_id long, vec_id long, score long, copies long")
+    near = near.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

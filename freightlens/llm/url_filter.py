@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from freightlens.llm.bloom import MAX_BLOCKS, block_count, with_possible
 from freightlens.llm.common import lower_ascii, without
+from freightlens.sources import stored
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,7 @@ def listed_urls(
     Counts the list when called, to size the filter.
     """
     own = listed.select(F.col(listed_url).alias("__url")).where("__url is not null").distinct()
+    own = stored(own, "listed")  # read three times; the join may split a hot URL's pages
     base = without(df, "listed")
     blocks = block_count(own.count(), max_blocks)
     tested = with_possible(base, url, own, "__url", blocks)

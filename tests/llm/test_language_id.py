@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
 
 from freightlens.llm import language_id as op
 from freightlens.llm.common import table
+from freightlens.llm.language_id import declared_language, page_text
 from freightlens.llm.queries import op1_language_fusion
 
 LABELLED = [
@@ -108,3 +112,28 @@ def test_query_matches_brute_force(spark):
     labelled = [(r.text, r.lang) for r in table(spark, sf_dir, "documents").collect()]
     pages = [(r.page_id, r.url, r.html) for r in table(spark, sf_dir, "pages").collect()]
     compared(op1_language_fusion(spark, sf_dir).collect(), brute(labelled, pages))
+
+
+MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})(?![A-Za-z])""", re.IGNORECASE)
+
+
+def test_markup_is_read_as_by_plain_patterns():
+    """The plain patterns search on and on for ends that never come, but say what to find."""
+    r = random.Random(1)
+    parts = ["<", ">", "<script>", "</script >", "<Style", "</STYLE>", "<!--", "-->", "<p>", "x", " ", "<scripts>", "</script"]
+    parts += ["<html", " lang=", "'en'", "de", "lang = fr", "<HTML>", "xlang=es", "abcd", "\n"]
+    for _ in range(6000):
+        page = "".join(r.choices(parts, k=r.randint(1, 12)))
+        assert page_text(page) == MARKUP.sub(" ", page), page
+        found = DECLARED.search(page)
+        assert declared_language(page) == (found.group(1).lower() if found else "und"), page
+
+
+def test_very_long_pages_take_linear_time():
+    for part in ("<html ", "<script>", "<!--", "<", "</script ", "<html lang ", "<style></script>"):
+        page = part * (1_000_000 // len(part))
+        start = time.monotonic()
+        page_text(page)
+        declared_language(page)
+        assert time.monotonic() - start < 4, part

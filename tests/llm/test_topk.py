@@ -2,10 +2,16 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+import pyarrow as pa
+import pytest
+
 from brute import top_scores
 from freightlens.llm.common import table
+from freightlens.llm.oracle import ORACLE
 from freightlens.llm.queries import op8_threshold_topk
 from freightlens.llm.topk import top_k
+from oracle_compare import differences
 
 SCHEMA = "vec_id long, embedding array<float>, Rank string"
 
@@ -53,9 +59,19 @@ def test_empty_and_null_ids(spark):
     assert top_k(frame.limit(0), frame).count() == 0
 
 
-def test_repeated_rows_count_once(spark):
-    got, _ = got_and_wanted(spark, [(2, [1.0]), (2, [1.0]), (3, [2.0]), (3, [2.0])], even, 5)
-    assert got == [(2, 1, 3, 64 * 128)]
+@pytest.mark.parametrize("block", [2, 4096])
+def test_repeated_rows_each_count(spark, block):
+    """As in the statement: every row is a candidate, and query rows of one id share its ranks."""
+    rows = [(2, [1.0]), (3, [2.0]), (3, [2.0]), (3, [2.5]), (5, [0.5]), *[(7, [1.0])] * 4, (40, [1.0]), (40, [1.0])]
+    rows += [(60, [1.0]), (60, [-1.0])]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = top_k(frame, frame.where("vec_id % 20 = 0"), block=block)
+    con = duckdb.connect()
+    con.register("given", pa.table({"vec_id": [i for i, _ in rows], "embedding": [v for _, v in rows]}))
+    con.sql("CREATE VIEW embeddings AS SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM given")
+    assert differences(got, con.sql(ORACLE["op8_threshold_topk"])) == []
+    small = top_k(frame.where("vec_id < 4"), frame.where("vec_id = 2"), 5)
+    assert sorted(map(tuple, small.collect())) == [(2, 1, 3, 64 * 160), (2, 2, 3, 64 * 128), (2, 3, 3, 64 * 128)]
 
 
 def test_query_matches_brute_force(spark):
