@@ -33,6 +33,8 @@ from freightlens.sources import stored
 
 #: Candidates in a block, and queries in a packet.
 BLOCK, PACKET = 4096, 2048
+#: Tasks that blocks are spread over: two for each block, so that few share one, at most these.
+MAX_TASKS = 1 << 14
 #: Integer sums below this are exact in a double.
 _EXACT = float(1 << 53)
 
@@ -155,7 +157,7 @@ def top_k(
     held = packed.withColumn("packet", F.lit(-1)).select(*columns)
     met = (
         held.unionByName(wanted)
-        .repartition("dim", "block")
+        .repartition(min(2 * blocks, MAX_TASKS), "dim", "block")
         .sortWithinPartitions("dim", "block", "packet")
     )
 
