@@ -61,18 +61,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group linked at a similarity of 0.8.
 
     Rows that share an id but not the text are documents of their own, ordered by a hash
-    of the text; equal rows are kept or dropped together. Documents without words, and
+    of the text; of equal rows (same id and text) one stays. Documents without words, and
     those with a null id, are in no group and stay.
     """
     common.ship(spark)
     own = F.xxhash64("text")
     key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", own.alias("own")))
     found = near_duplicates(docs.select(key.alias("key"), "text"), "key", percent=80)
-    gone = found.where(~F.col("kept")).select(
-        F.col("key.doc_id").alias("__gone"), F.col("key.own").alias("__own")
+    fates = found.where("key is not null").groupBy("key").agg(
+        F.first("kept").alias("__stays"), F.count(F.lit(1)).alias("rows")
     )
-    same = (F.col("doc_id") == F.col("__gone")) & (own == F.col("__own"))
-    return _own(docs.join(gone.distinct(), same, "left_anti"), docs)
+    fates = fates.where("not __stays or rows > 1").select(
+        F.col("key.doc_id").alias("__id"), F.col("key.own").alias("__own"), "__stays"
+    )
+    # stored, as both branches read it and a join may split a key that many rows have
+    fates = stored(fates, "fates")
+    same = (docs["doc_id"] == fates["__id"]) & (own == fates["__own"])
+    single = docs.join(fates, same, "left_anti")
+    repeated = docs.join(fates.where("__stays"), same).dropDuplicates(["__id", "__own"])
+    return _own(single, docs).unionByName(_own(repeated, docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
