@@ -24,11 +24,10 @@ def finite(value: str) -> str:
 
 
 def exponent_bin(value: str) -> str:
-    """The bin of a finite double; NULL for NULL."""
+    """The bin of a finite double; NULL for NULL, and for zero, which adds nothing to any."""
     # the logarithm may be off by one next to a power of two, which the bounds allow for
-    power = f"coalesce(floor(log2(abs({value}))), {_LEAST})"
-    bin_ = f"greatest(cast(floor(({power} - {53 + _LEAST}) / {_BITS}) AS int), 0)"
-    return f"CASE WHEN {value} IS NOT NULL THEN {bin_} END"
+    bin_ = f"greatest(cast(floor((floor(log2(abs({value}))) - {53 + _LEAST}) / {_BITS}) AS int), 0)"
+    return f"CASE WHEN {value} <> 0 THEN {bin_} END"
 
 
 @cache
@@ -95,7 +94,7 @@ def _rounded(digits: str) -> str:
 def exact_total(entries: str) -> str:
     """The sum, rounded once, of (bin, digits) entries, digits being sums of ``unit_digits``.
 
-    NULL without entries.
+    Zero without entries.
     """
     bins = f"transform({entries}, e -> e.bin)"
     # room for the highest digit and for what its sum carries over
@@ -105,4 +104,4 @@ def exact_total(entries: str) -> str:
     negative = f"-{_rounded('(' + _carried('sums', -1) + ').digits')}"
     signed = f"IF(up.carry >= 0, {_rounded('up.digits')}, {negative})"
     total = _let("sums", sums, _let("up", _carried("sums", 1), signed))
-    return f"CASE WHEN size({entries}) > 0 THEN {total} END"
+    return f"IF(size({entries}) > 0, {total}, 0D)"
