@@ -115,3 +115,10 @@ def test_deviation_far_from_zero(spark):
     """Sums of plain squares would cancel here."""
     df = spark.createDataFrame([(1e9 + d,) for d in (-0.5, 0.5)] * 3, "x double")
     assert df.limit(1).select(*exact_deviation(df, "x")).first()[1] == 0.5
+
+
+def test_zeros_count_in_a_mean_but_take_no_bin(spark):
+    rows = [(1, 0.0), (1, -0.0), (1, None), (2, 0.0), (2, 3.0), (3, None), (4, 0.0), (4, float("inf"))]
+    df = spark.createDataFrame(rows, "g int, x double")
+    found = exact_aggregate(df, {"g": F.col("g")}, {"m": mean("x"), "n": Rows()}).collect()
+    assert {r.g: (r.m, r.n) for r in found} == {1: (0.0, 3), 2: (1.5, 2), 3: (None, 1), 4: (float("inf"), 2)}
